@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from fieldtally.functions import ship_by_value
 
@@ -63,14 +64,14 @@ def regularised_beta(a, b, x) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_tails(t: pd.Series, df: pd.Series) -> pd.Series:
     t_, df_ = t.to_numpy(float, na_value=np.nan), df.to_numpy(float, na_value=np.nan)
     p = pd.Series(regularised_beta(df_ / 2.0, 0.5, df_ / (df_ + t_ * t_)))
     return p.where(p.notna(), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _f_tail(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     f_, n, d = (s.to_numpy(float, na_value=np.nan) for s in (f, df1, df2))
     p = pd.Series(regularised_beta(d / 2.0, n / 2.0, d / (d + n * f_)))

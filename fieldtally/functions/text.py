@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from fieldtally.functions import ship_by_value
 
@@ -66,7 +67,7 @@ def truncate(col: Column, length: int) -> Column:
     return F.substring(col, 1, length)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose_unicode(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFC")
 
