@@ -35,6 +35,13 @@ def logit(col: Column) -> Column:
     return F.when(inside, F.ln(F.try_divide(col, 1 - col)))
 
 
+def correlation_of(a: Column, b: Column) -> Column:
+    """Pearson aggregate over rows with both values; NULL when either does not vary."""
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.sqrt(F.var_pop(F.when(both, a)) * F.var_pop(F.when(both, b)))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def percent_change(log_difference: Column) -> Column:
     return F.expm1(log_difference)
 

@@ -11,6 +11,7 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldtally.functions import numbers
 from fieldtally.operators.lineage import cut
 from fieldtally.operators.ordered import with_position
 
@@ -36,7 +37,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Correlations of mean-imputed columns, upper triangle with the diagonal."""
     filled = mean_imputed(df, columns)
     cells = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    measured = filled.agg(*[F.corr(a, b).alias(f"r_{i}") for i, (a, b) in enumerate(cells)])
+    measured = filled.agg(*[numbers.correlation_of(F.col(a), F.col(b)).alias(f"r_{i}") for i, (a, b) in enumerate(cells)])
     rows = F.array(
         *[
             F.struct(F.lit(a).alias("col_1"), F.lit(b).alias("col_2"), F.col(f"r_{i}").alias("r"))
@@ -65,7 +66,7 @@ def pca(df: DataFrame, columns: Sequence[str], *, n_axes: int = 5, keep: Sequenc
     row = filled.agg(
         F.array(*[F.avg(c) for c in columns]).alias("mean"),
         F.array(*[F.stddev_pop(c) for c in columns]).alias("sd"),
-        F.array(*[F.corr(columns[i], columns[j]) for i, j in pairs]).alias("r"),
+        F.array(*[numbers.correlation_of(F.col(columns[i]), F.col(columns[j])) for i, j in pairs]).alias("r"),
     ).first()
     varying = [i for i, s in enumerate(row["sd"]) if s]
     matrix = np.eye(len(columns))
@@ -104,7 +105,7 @@ def pca(df: DataFrame, columns: Sequence[str], *, n_axes: int = 5, keep: Sequenc
 def supplementary_numeric(scores: DataFrame, columns: Sequence[str], *, n_axes: int) -> DataFrame:
     """Correlation of each extra numeric column with each axis."""
     cells = [(c, a) for c in columns for a in range(1, n_axes + 1)]
-    measured = scores.agg(*[F.corr(c, f"dim_{a}").alias(f"r_{i}") for i, (c, a) in enumerate(cells)])
+    measured = scores.agg(*[numbers.correlation_of(F.col(c), F.col(f"dim_{a}")).alias(f"r_{i}") for i, (c, a) in enumerate(cells)])
     rows = F.array(
         *[
             F.struct(F.lit(c).alias("variable"), F.lit(a).alias("axis"), F.col(f"r_{i}").alias("coordinate"))

@@ -10,7 +10,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.functions import special
+from fieldtally.functions import numbers, special
 from fieldtally.operators.lineage import cut
 from fieldtally.operators.ordered import average_ranks
 
@@ -25,7 +25,7 @@ def _finish(pairs: DataFrame) -> DataFrame:
 def _pearson_of(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """All correlations from one aggregation; rows missing either value do not count."""
     measured = df.agg(
-        *[F.corr(a, b).alias(f"r_{i}") for i, (a, b) in enumerate(pairs)],
+        *[numbers.correlation_of(F.col(a), F.col(b)).alias(f"r_{i}") for i, (a, b) in enumerate(pairs)],
         *[
             F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias(f"n_{i}")
             for i, (a, b) in enumerate(pairs)
