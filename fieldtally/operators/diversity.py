@@ -24,6 +24,7 @@ def alpha_diversity(
     """Diversity per site visit from long catch totals.
 
     One aggregation: Shannon is `ln T - sum(v ln v) / T`, Simpson `1 - sum(v^2) / T^2`.
+    A single species has exactly 0, free of rounding, since later steps test for 0.
     A visit without catch has Shannon 0, Simpson 1 and an infinite inverse, as
     when proportions are taken over a row of zeros.
     """
@@ -36,6 +37,7 @@ def alpha_diversity(
             F.sum("_v").alias("_total"),
             F.sum(F.when(F.col("_v") > 0, F.col("_v") * F.ln("_v")).otherwise(0.0)).alias("_vlogv"),
             F.sum(F.col("_v") * F.col("_v")).alias("_squares"),
+            F.count(F.when(F.col("_v") > 0, 1)).alias("_present"),
             *([F.max("n_samples").alias("n_samples")] if has_effort else []),
         )
     )
@@ -43,7 +45,7 @@ def alpha_diversity(
     caught = total > 0
     if index == "shannon":
         entropy = (F.ln(F.when(caught, total)) - F.try_divide(F.col("_vlogv"), total)) / math.log(base)
-        alpha = F.when(caught, F.greatest(entropy, F.lit(0.0))).otherwise(0.0)
+        alpha = F.when(F.col("_present") > 1, F.greatest(entropy, F.lit(0.0))).otherwise(0.0)
     elif index == "simpson":
         alpha = F.when(caught, 1 - concentration).otherwise(1.0)
     elif index == "invsimpson":

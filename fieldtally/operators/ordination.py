@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
@@ -56,23 +58,20 @@ def _fixed_signs(vectors: np.ndarray) -> np.ndarray:
 def pca(df: DataFrame, columns: Sequence[str], *, n_axes: int = 5, keep: Sequence[str] = ()) -> Ordination:
     """Components of standardised, mean-imputed columns (population deviation).
 
-    One aggregation yields means, deviations and correlations; the eigenproblem
-    has as many rows as there are columns, and the scores are column arithmetic.
+    Means, deviations and correlations are aggregated on the cluster; the
+    eigenproblem has as many rows as there are columns, and the scores are column
+    arithmetic. Columns that do not vary are left out.
     """
     spark = df.sparkSession
     columns = list(columns)
-    filled = mean_imputed(df, columns)
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    filled = cut(mean_imputed(df, columns).select(*keep, *[c for c in columns if c not in keep]))
     row = filled.agg(
         F.array(*[F.avg(c) for c in columns]).alias("mean"),
         F.array(*[F.stddev_pop(c) for c in columns]).alias("sd"),
-        F.array(*[numbers.correlation_of(F.col(columns[i]), F.col(columns[j])) for i, j in pairs]).alias("r"),
     ).first()
     varying = [i for i, s in enumerate(row["sd"]) if s]
-    matrix = np.eye(len(columns))
-    for (i, j), r in zip(pairs, row["r"]):
-        matrix[i, j] = matrix[j, i] = r if r is not None else 0.0
-    matrix = matrix[np.ix_(varying, varying)]
+    vectors_of = VectorAssembler(inputCols=[columns[i] for i in varying], outputCol="_x")
+    matrix = Correlation.corr(vectors_of.transform(filled).select("_x"), "_x").first()[0].toArray()
     values, vectors = np.linalg.eigh(matrix)
     order = np.argsort(values)[::-1]
     values, vectors = values[order], _fixed_signs(vectors[:, order])

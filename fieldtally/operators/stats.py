@@ -16,10 +16,12 @@ from fieldtally.operators.ordered import average_ranks
 
 
 def _finish(pairs: DataFrame) -> DataFrame:
-    """Add the two-sided p-value of a correlation from its t statistic."""
+    """Add the two-sided p-value of a correlation from its t statistic (0 for a perfect one)."""
     r, n = F.col("r"), F.col("n")
+    perfect = F.abs(r) > 1 - 1e-12
     t = r * F.sqrt(F.try_divide((n - 2).cast("double"), 1 - r * r))
-    return pairs.withColumn("p_value", special.student_t_p(F.when(n > 2, t), n - 2))
+    p = special.student_t_p(F.when((n > 2) & ~perfect, t), n - 2)
+    return pairs.withColumn("p_value", F.when((n > 2) & perfect, F.lit(0.0)).otherwise(p))
 
 
 def _pearson_of(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

@@ -366,6 +366,8 @@ ORACLES["effort_totals_tagged"] = """SELECT refuge, occasion, gear, species, no_
   UNION ALL SELECT refuge, occasion, gear, species, no_fish, round(total_weight, 6), n_samples, 'raw_totals' FROM raw_totals"""
 ORACLES["effort_mean_scaled"] = "SELECT refuge, occasion, gear, species, no_fish, total_weight FROM mean_totals"
 ORACLES["catch_full"] = "SELECT year_s, season, month, refuge, species, count FROM catch_full"
+ORACLES["catch_wide"] = r"""SELECT year_s, season, month, refuge, coalesce(COLUMNS('(^sp.+)'), 0) + 0.0 AS '\1' FROM
+  (PIVOT catch_full ON species USING sum(count) GROUP BY year_s, season, month, refuge)"""
 ORACLES["change_table"] = "SELECT month, year_s, refuge, species, " + R("ln(1 + count)", "log_count") + " FROM catch_full"
 _alpha_out = ", ".join(["refuge, occasion, gear", R("diversity_alpha", "diversity_alpha"), "index", R("base", "base"), "transform_fun", "n_samples"])
 ORACLES["alpha_shannon"] = f"SELECT {_alpha_out} FROM alpha_raw"
@@ -472,8 +474,8 @@ _cc = ["season", "month", "year", "category_name"]
 ORACLES["profile_compare"] = f"""SELECT variable, level, {R('coalesce(a.share, 0)', 'share_1')}, {R('coalesce(b.share, 0)', 'share_2')}
   FROM ({cat_profile(_cc, 'water_temp IS NULL')}) a FULL JOIN ({cat_profile(_cc, 'water_temp IS NOT NULL')}) b USING (variable, level)"""
 ORACLES["profile_num"] = " UNION ALL ".join(
-    f"SELECT '{c}' AS variable, {R(f'min({c})', 'min')}, {R(f'max({c})', 'max')}, {R(f'avg({c})', 'mean')}, {R(f'stddev_samp({c})', 'sd')}, count(*) - count({c}) AS n_missing, count(*) AS n, "
-    f"{R(_quantile(c, 0.25), 'q1')}, {R(_quantile(c, 0.5), 'median')}, {R(_quantile(c, 0.75), 'q3')} FROM frame" for c in NUMERIC_COVARIATES
+    f"SELECT '{c}' AS variable, {R(f'min({c})', 'min', 9)}, {R(f'max({c})', 'max', 9)}, {R(f'avg({c})', 'mean', 9)}, {R(f'stddev_samp({c})', 'sd', 9)}, count(*) - count({c}) AS n_missing, count(*) AS n, "
+    f"{R(_quantile(c, 0.25), 'q1', 9)}, {R(_quantile(c, 0.5), 'median', 9)}, {R(_quantile(c, 0.75), 'q3', 9)} FROM frame" for c in NUMERIC_COVARIATES
 )
 ORACLES["profile_num_log"] = " UNION ALL ".join(
     f"""SELECT '{c}' AS variable, CASE WHEN hi = lo THEN 1 ELSE CAST(least(10, greatest(1, ceil((x - lo) / ((hi - lo) / 10.0)))) AS INTEGER) END AS bin, count(*) AS n FROM
@@ -483,10 +485,10 @@ ORACLES["profile_num_log"] = " UNION ALL ".join(
 ORACLES["histogram"] = f"SELECT gear, bin, count(*) AS n, {R('bin * 0.1::DOUBLE', 'bin_center')} FROM (SELECT gear, CAST(floor(diversity_alpha / 0.1::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS bin FROM alpha_all) GROUP BY gear, bin"
 
 
-def boxes(source: str, value: str, by: str) -> str:
-    return f"""SELECT {by}, {R('q1', 'q1')}, {R('median', 'median')}, {R('q3', 'q3')},
-  {R('min(x) FILTER (x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))', 'whisker_low')},
-  {R('max(x) FILTER (x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))', 'whisker_high')},
+def boxes(source: str, value: str, by: str, digits: int = 6) -> str:
+    return f"""SELECT {by}, {R('q1', 'q1', digits)}, {R('median', 'median', digits)}, {R('q3', 'q3', digits)},
+  {R('min(x) FILTER (x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))', 'whisker_low', digits)},
+  {R('max(x) FILTER (x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))', 'whisker_high', digits)},
   count(*) FILTER (NOT (x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))) AS n_outliers, count(*) AS n FROM
   (SELECT {by}, {value} AS x FROM {source} WHERE {value} IS NOT NULL) JOIN
   (SELECT {by}, {_quantile(value, 0.25)} AS q1, {_quantile(value, 0.5)} AS median, {_quantile(value, 0.75)} AS q3 FROM {source} GROUP BY {by}) USING ({by})
@@ -501,7 +503,7 @@ CTES["visit_long"] = (
         for c in SEASON_MEASURES
     ) + ")"
 )
-ORACLES["boxplot_covariates"] = boxes("visit_long", "value", "title, occasion")
+ORACLES["boxplot_covariates"] = boxes("visit_long", "value", "title, occasion", 9)
 ORACLES["diversity_quantiles"] = "SELECT season, " + ", ".join(
     R(_quantile("diversity_alpha", p), n) for n, p in {"q0": 0.0, "q2": 0.02, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q98": 0.98, "q100": 1.0}.items()
 ) + " FROM frame GROUP BY season"
@@ -536,25 +538,31 @@ ORACLES["calendar_labels"] = """SELECT refuge, occasion, CASE month WHEN '2' THE
   CASE year_s WHEN 0 THEN '2013' WHEN 1 THEN '2014' WHEN 2 THEN '2015' ELSE CAST(year_s AS VARCHAR) END AS year_label FROM occasion_covariates"""
 
 _pairs = [(a, b) for i, a in enumerate(NUMERIC_COVARIATES) for b in NUMERIC_COVARIATES[i + 1:]]
-_r_p = f"""SELECT col_1, col_2, n, {R('r', 'r')}, {R('CASE WHEN r IS NOT NULL AND n > 2 AND abs(r) < 1 THEN ' + t_p('(r * sqrt((n - 2) / (1 - r * r)))', '(n - 2)') + ' END', 'p_value')} FROM """
+_r_p = f"""SELECT col_1, col_2, n, {R('r', 'r')}, {R('CASE WHEN n > 2 AND abs(r) > 1 - 1e-12 THEN 0 WHEN r IS NOT NULL AND n > 2 THEN ' + t_p('(r * sqrt((n - 2) / (1 - r * r)))', '(n - 2)') + ' END', 'p_value')} FROM """
 ORACLES["corr_pearson"] = _r_p + "(" + " UNION ALL ".join(
     f"SELECT '{a}' AS col_1, '{b}' AS col_2, count(*) AS n, covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0) AS r FROM frame WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a, b in _pairs
 ) + ")"
 ORACLES["corr_spearman"] = _r_p + "(" + " UNION ALL ".join(
     f"""SELECT '{a}' AS col_1, '{b}' AS col_2, count(*) AS n, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS r FROM
     (SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2 AS x, rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2 AS y
-     FROM frame WHERE {a} IS NOT NULL AND {b} IS NOT NULL)""" for a, b in _pairs
+     FROM spearman_frame WHERE {a} IS NOT NULL AND {b} IS NOT NULL)""" for a, b in _pairs
 ) + ")"
 ORACLES["ols_simple"] = " UNION ALL ".join(
     f"""SELECT '{y}' AS response, CAST(regr_count({y}, m_5) AS BIGINT) AS n, {R(f'regr_intercept({y}, m_5)', 'intercept')}, {R(f'regr_slope({y}, m_5)', 'slope')},
     {R(f'regr_r2({y}, m_5)', 'r_squared')}, {R(f'sqrt(regr_syy({y}, m_5) * (1 - regr_r2({y}, m_5)) / (regr_count({y}, m_5) - 2)) / sqrt(regr_sxx({y}, m_5))', 'slope_se')},
     {R(f'regr_slope({y}, m_5) / (sqrt(regr_syy({y}, m_5) * (1 - regr_r2({y}, m_5)) / (regr_count({y}, m_5) - 2)) / sqrt(regr_sxx({y}, m_5)))', 't')} FROM month_frame""" for y in ("m_8", "m_11")
 )
+CTES["spearman_frame"] = "SELECT * REPLACE (round(diversity_alpha, 9) AS diversity_alpha) FROM frame"
 CTES["month_stats"] = """SELECT month, count(*) AS k, avg(diversity_alpha) AS m FROM frame GROUP BY month"""
 CTES["month_sigma"] = """SELECT sum(pow(diversity_alpha - m, 2)) / (count(*) - 4) AS s2, count(*) - 4 AS dof FROM frame JOIN month_stats USING (month)"""
 ORACLES["ols_categorical"] = f"""SELECT term, {R('estimate', 'estimate')}, {R('se', 'std_error')}, {R('estimate / se', 't')}, {R(t_p('(estimate / se)', 'dof'), 'p_value')} FROM
   (SELECT 'month_' || a.month AS term, a.m - b.m AS estimate, sqrt(s2 * (1.0 / a.k + 1.0 / b.k)) AS se, dof FROM month_stats a, month_stats b, month_sigma WHERE b.month = '11' AND a.month <> '11'
    UNION ALL SELECT '(Intercept)', m, sqrt(s2 / k), dof FROM month_stats, month_sigma WHERE month = '11')"""
+CTES["offset_stats"] = "SELECT month_s, count(*) AS k, avg(diversity_alpha - ln(n_samples)) AS m FROM frame GROUP BY month_s"
+CTES["offset_sigma"] = """SELECT sum(pow(diversity_alpha - ln(n_samples) - m, 2)) / (count(*) - 4) AS s2, count(*) - 4 AS dof FROM frame JOIN offset_stats USING (month_s)"""
+ORACLES["glm_offset"] = f"""SELECT term, {R('estimate', 'estimate', 5)}, {R('se', 'std_error', 5)}, {R('estimate / se', 't', 5)}, {R(t_p('(estimate / se)', 'dof'), 'p_value', 5)} FROM
+  (SELECT 'month_s_' || a.month_s AS term, a.m - b.m AS estimate, sqrt(s2 * (1.0 / a.k + 1.0 / b.k)) AS se, dof FROM offset_stats a, offset_stats b, offset_sigma WHERE b.month_s = 'm_11' AND a.month_s <> 'm_11'
+   UNION ALL SELECT '(Intercept)', m, sqrt(s2 / k), dof FROM offset_stats, offset_sigma WHERE month_s = 'm_11')"""
 _ols_cols = {"(Intercept)": "1.0", **{c: c for c in ["water_level", "aquatic_plant_area", "brush_park", "water_temp", "diversity_alpha"]}}
 _ols_names = list(_ols_cols)
 ORACLES["ols_moments"] = " UNION ALL ".join(

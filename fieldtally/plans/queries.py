@@ -342,7 +342,7 @@ def _(spark, d):
     )
 
 
-@register("profile_num")
+@register("profile_num", 9)
 def _(spark, d):
     return explore.numeric_profile(survey_of_tables(spark, d).diversity_frame, NUMERIC_COVARIATES)
 
@@ -368,14 +368,15 @@ def _(spark, d):
     return explore.boxplot_stats(alpha, "diversity_alpha", by=["gear", "occasion"])
 
 
-@register("boxplot_covariates")
+@register("boxplot_covariates", 9)
 def _(spark, d):
     visits = survey_of_tables(spark, d).occasion_info.drop("sampling").distinct()
     long = reshape.to_long(
         visits.select("refuge", "occasion", *SEASON_MEASURES), keys=["refuge", "occasion"],
         columns=SEASON_MEASURES, names="variable", values="value",
-    ).withColumn("title", text.sentence_case(F.col("variable")))
-    return explore.boxplot_stats(long, "value", by=["title", "occasion"])
+    )
+    boxes = explore.boxplot_stats(long, "value", by=["variable", "occasion"])
+    return boxes.withColumn("variable", text.sentence_case(F.col("variable"))).withColumnRenamed("variable", "title")
 
 
 @register("diversity_quantiles")
@@ -504,7 +505,8 @@ def _(spark, d):
 
 @register("corr_spearman")
 def _(spark, d):
-    frame = survey_of_tables(spark, d).diversity_frame
+    # Equal communities listed in another order differ in the last bits: not a difference in rank.
+    frame = survey_of_tables(spark, d).diversity_frame.withColumn("diversity_alpha", F.round("diversity_alpha", 9))
     return stats.correlation(frame, NUMERIC_COVARIATES, method="spearman")
 
 
