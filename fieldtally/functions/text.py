@@ -14,6 +14,8 @@ from fieldtally.functions import ship_by_value
 
 ship_by_value(__name__)
 
+SOFT_HYPHEN = "\u00ad"
+
 # Code points that Unicode marks as default-ignorable.
 IGNORABLE_CODE_POINTS = (
     "[\\u00AD\\u034F\\u061C\\u115F\\u1160\\u17B4\\u17B5\\u180B-\\u180F\\u200B-\\u200F"
@@ -76,10 +78,12 @@ def repair_text(col: Column, *, encoding: str = "latin1") -> Column:
     """Normalise text and drop ignorable code points.
 
     Text read as latin-1 holds no combining marks, so it is already in composed
-    form and the repair stays in the JVM. Any other encoding needs the Arrow UDF.
+    form, and its only ignorable code point is the soft hyphen: one byte search
+    per value. Any other encoding needs the Arrow UDF and the full pattern.
     """
-    composed = col if encoding == "latin1" else _compose_unicode(col)
-    return F.regexp_replace(composed, IGNORABLE_CODE_POINTS, "")
+    if encoding == "latin1":
+        return F.replace(col, F.lit(SOFT_HYPHEN), F.lit(""))
+    return F.regexp_replace(_compose_unicode(col), IGNORABLE_CODE_POINTS, "")
 
 
 def number_text(col: Column, decimals: int) -> Column:

@@ -38,19 +38,24 @@ def repair_strings(df: DataFrame, *, encoding: str = "latin1") -> DataFrame:
     return df.withColumns({c: text.repair_text(F.col(c), encoding=encoding) for c in strings})
 
 
-def species_codes(records: DataFrame) -> DataFrame:
-    """Smallest code recorded under each species name, and the largest id numbers.
+def species_names(records: DataFrame, config: SurveyConfig = SurveyConfig()) -> DataFrame:
+    """Per recorded name: the readable name, the smallest code under it and the largest id numbers.
 
-    An aggregation, not a window: a name that holds a large share of the records
-    is combined map-side. The result is written, so the join below broadcasts it
-    only if its size on disk allows that; otherwise it is a shuffle join whose
-    hot names AQE splits.
+    Records are first reduced to one row per recorded name, so names are edited
+    once each and a name that holds a large share of the records is combined
+    map-side; no window over records is needed. Excluded and missing names are
+    left out. The result is written: joins broadcast it only if its size on disk
+    allows that, otherwise they are shuffle joins whose hot names AQE splits.
     """
-    summary = records.groupBy("species_name").agg(
-        F.min("species_code").alias("_canonical"),
-        *[F.max(c).alias(f"_most_{c}") for c in ("refuge", "occasion", "replicate")],
+    numbers = ("refuge", "occasion", "replicate")
+    recorded = records.groupBy("species_name").agg(
+        F.min("species_code").alias("_code"), *[F.max(c).alias(f"_most_{c}") for c in numbers]
     )
-    return cut(summary)
+    named = recorded.withColumn("_name", text.sentence_case(F.col("species_name"))).where(F.col("_name").isNotNull())
+    for pattern in config.excluded_species:
+        named = named.where(~F.col("_name").rlike(pattern))
+    smallest = named.groupBy("_name").agg(F.min("_code").alias("_canonical"))
+    return cut(named.drop("_code").join(smallest, "_name"))
 
 
 def clean_survey(raw: DataFrame, config: SurveyConfig = SurveyConfig(), *, encoding: str = "latin1") -> DataFrame:
@@ -66,23 +71,19 @@ def clean_survey(raw: DataFrame, config: SurveyConfig = SurveyConfig(), *, encod
             "water_bird": labels.not_no(F.col("water_bird")),
             "other_animal": labels.not_no(F.col("other_animal")),
             "weather": F.lower("weather"),
-            "species_name": text.sentence_case(F.col("species_name")),
         }
     )
-    for pattern in config.excluded_species:
-        labelled = labelled.where(~F.col("species_name").rlike(pattern))
-
-    codes = species_codes(labelled)
-    largest = codes.agg(
+    names = species_names(labelled, config)
+    largest = names.agg(
         F.struct(
             F.max("_canonical").alias("species_code"),
             *[F.max(f"_most_{c}").alias(c) for c in ("refuge", "occasion", "replicate")],
         )
     ).scalar()
     coded = (
-        labelled.join(codes.select("species_name", "_canonical"), "species_name", "left")
-        .withColumns({"species_code": F.col("_canonical"), "_largest": largest})
-        .drop("_canonical")
+        labelled.join(names.select("species_name", "_name", "_canonical"), "species_name")
+        .withColumns({"species_name": F.col("_name"), "species_code": F.col("_canonical"), "_largest": largest})
+        .drop("_name", "_canonical")
     )
     padded = coded.withColumns(
         {

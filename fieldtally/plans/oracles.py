@@ -619,7 +619,7 @@ ORACLES["draw_ratio"] = " UNION ALL ".join(
 ORACLES["draw_loss_share"] = f"SELECT draw, {R('click / nullif(click + view, 0)', 'loss_share')}, {R('click + view', 'total')} FROM draw_wide WHERE click IS NOT NULL AND view IS NOT NULL"
 ORACLES["draw_r2"] = f"SELECT CAST(l_linenumber AS BIGINT) AS draw, {R('var_samp(l_quantity * 1500) / (var_samp(l_quantity * 1500) + var_samp(l_extendedprice - l_quantity * 1500))', 'value')} FROM lineitem GROUP BY l_linenumber"
 CTES["supplier_grid"] = "SELECT CAST(range AS INTEGER) AS point, (lo + (hi - lo) * (range / 4)) / 10000 AS x FROM range(5), (SELECT min(s_acctbal) AS lo, max(s_acctbal) AS hi FROM supplier)"
-ORACLES["draw_predict"] = f"SELECT draw, point, {R('x', 'x')}, {R('view + click * x', 'value')} FROM draw_wide, supplier_grid WHERE click IS NOT NULL AND view IS NOT NULL"
+ORACLES["draw_predict"] = f"SELECT draw, point, {R('x', 'x', 11)}, {R('view + click * x', 'value', 11)} FROM draw_wide, supplier_grid WHERE click IS NOT NULL AND view IS NOT NULL"
 CTES["shifted"] = """SELECT r_name AS category, param AS level, view + click * r_regionkey + d.value AS value FROM draw_wide w, region, drawn d
   WHERE click IS NOT NULL AND view IS NOT NULL AND d.draw = w.draw AND d.param IN ('error', 'signup')"""
 ORACLES["draw_group_effect"] = intervals("shifted", "category, level", (0.66, 0.95))

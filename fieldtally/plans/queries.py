@@ -699,7 +699,7 @@ def _(spark, d):
     return draws.r2_draws(items)
 
 
-@register("draw_predict")
+@register("draw_predict", 11)
 def _(spark, d):
     grid = numbers.even_grid(read_table(spark, d, "supplier"), "s_acctbal", 5).select(
         "point", (F.col("s_acctbal") / 10000).alias("x")
