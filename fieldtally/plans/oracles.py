@@ -563,6 +563,12 @@ CTES["offset_sigma"] = """SELECT sum(pow(diversity_alpha - ln(n_samples) - m, 2)
 ORACLES["glm_offset"] = f"""SELECT term, {R('estimate', 'estimate', 5)}, {R('se', 'std_error', 5)}, {R('estimate / se', 't', 5)}, {R(t_p('(estimate / se)', 'dof'), 'p_value', 5)} FROM
   (SELECT 'month_s_' || a.month_s AS term, a.m - b.m AS estimate, sqrt(s2 * (1.0 / a.k + 1.0 / b.k)) AS se, dof FROM offset_stats a, offset_stats b, offset_sigma WHERE b.month_s = 'm_11' AND a.month_s <> 'm_11'
    UNION ALL SELECT '(Intercept)', m, sqrt(s2 / k), dof FROM offset_stats, offset_sigma WHERE month_s = 'm_11')"""
+CTES["dry_wet"] = "SELECT m_8 - ln(n_samples) AS y, m_5 AS x FROM month_frame WHERE m_8 IS NOT NULL AND m_5 IS NOT NULL"
+CTES["dry_wet_fit"] = """SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, count(*) - 2 AS dof, avg(x) AS mx, regr_sxx(y, x) AS sxx, count(*) AS n,
+  (regr_syy(y, x) - pow(regr_sxy(y, x), 2) / regr_sxx(y, x)) / (count(*) - 2) AS s2 FROM dry_wet"""
+ORACLES["glm_dry_wet"] = f"""SELECT term, {R('estimate', 'estimate', 5)}, {R('se', 'std_error', 5)}, {R('estimate / se', 't', 5)}, {R(t_p('(estimate / se)', 'dof'), 'p_value', 5)} FROM
+  (SELECT 'm_5' AS term, b AS estimate, sqrt(s2 / sxx) AS se, dof FROM dry_wet_fit
+   UNION ALL SELECT '(Intercept)', a, sqrt(s2 * (1.0 / n + mx * mx / sxx)), dof FROM dry_wet_fit)"""
 _ols_cols = {"(Intercept)": "1.0", **{c: c for c in ["water_level", "aquatic_plant_area", "brush_park", "water_temp", "diversity_alpha"]}}
 _ols_names = list(_ols_cols)
 ORACLES["ols_moments"] = " UNION ALL ".join(

@@ -592,6 +592,26 @@ def _(spark, d):
     )
 
 
+@register("pca_dry_pairs")
+def _(spark, d):
+    pairs = dims.occasion_covariates_turnover(survey_of_tables(spark, d).occasion_info, CFG)
+    return ordination.pca(pairs, reshape.columns_like(pairs.drop("year_s"), numeric=True)).variables
+
+
+@register("pca_sites")
+def _(spark, d):
+    sites = numbers.log1p_columns(survey_of_tables(spark, d).refuge_info, dims.LOGGED_REFUGE_COLUMNS)
+    columns = [c for c in reshape.columns_like(sites, numeric=True) if c != "category"]
+    categories = ["category_name", "large_water_body", "channel_type", "shape", "type_inlet_outlet"]
+    result = ordination.pca(sites, columns, keep=categories)
+    return ordination.supplementary_categories(result.scores, categories, n_axes=result.n_axes)
+
+
+@register("pca_ellipses")
+def _(spark, d):
+    return stats.group_ellipses(_season_pca(spark, d).scores, "dim_1", "dim_2", by=["season"])
+
+
 def _gear_cells(spark, d):
     totals = effort.mean_scaled_totals(survey_of_tables(spark, d).catch_info, CFG)
     return totals.where(F.col("gear") == CFG.primary_gear).select(
@@ -614,6 +634,13 @@ def _(spark, d):
     return ordination.correspondence(_gear_cells(spark, d), rows=["refuge", "occasion"], column="species", value="n").variables
 
 
+@register("ca_all_gears")
+def _(spark, d):
+    totals = effort.mean_scaled_totals(survey_of_tables(spark, d).catch_info, CFG).withColumn("n", F.log1p("no_fish"))
+    result = ordination.correspondence(totals, rows=["refuge", "occasion", "gear"], column="species", value="n")
+    return ordination.supplementary_categories(result.scores, ["gear", "occasion"], n_axes=result.n_axes, weight="mass")
+
+
 @register("ca_type_axes")
 def _(spark, d):
     s = survey_of_tables(spark, d)
@@ -766,6 +793,14 @@ def _(spark, d):
     return coefficients
 
 
+@register("glm_dry_wet", 5)
+def _(spark, d):
+    coefficients, _ = models.offset_model(
+        survey_of_tables(spark, d).diversity_by_month, "m_8", ["m_5"], offset=F.ln("n_samples")
+    )
+    return coefficients
+
+
 @register("model_variants", 5)
 def _(spark, d):
     s = survey_of_tables(spark, d)
@@ -809,6 +844,38 @@ def _(spark, d):
     return models.bootstrap_draws(frame, "b_stnd", design, cluster="refuge", n_draws=N_BOOT, prefix="b_bstnd_")
 
 
+def _turnover_draws(spark, d, response, prefix):
+    """Coefficient draws of a turnover part on presence-absence, site category and their interaction."""
+    s = survey_of_tables(spark, d)
+    table = s.turnover.where(F.col("comparison") == "2 5").join(
+        s.refuge_covariates.select("refuge", "category_name"), "refuge", "left"
+    )
+    category = models.design_columns({"category_name": reshape.level_list(table, "category_name", limit=50)}, [])
+    presence = F.when(F.col("pa_tr"), 1.0).otherwise(0.0)
+    crossed = {f"pa_tr:{name}": presence * column for name, column in category.items() if name != "(Intercept)"}
+    design = {**category, "pa_tr": presence, **crossed}
+    held = table.withColumn(response, numbers.zero_to(F.col(response), 0.0001))
+    return models.bootstrap_draws(held, response, design, cluster="refuge", n_draws=N_BOOT, prefix=prefix)
+
+
+@register("bootstrap_turnover")
+def _(spark, d):
+    losses = cut(_turnover_draws(spark, d, "b_stnd", "b_bstnd_"))
+    gains = cut(_turnover_draws(spark, d, "c_stnd", "b_cstnd_"))
+    tests = [("losses > gains", F.col("b_bstnd_Intercept") - F.col("b_cstnd_Intercept"), ">")]
+    return draws.hypotheses(losses.unionByName(gains), tests, params=["b_bstnd_Intercept", "b_cstnd_Intercept"])
+
+
+@register("bootstrap_species_types")
+def _(spark, d):
+    changes = cut(survey_of_tables(spark, d).species_changes)
+    types = reshape.level_list(changes, "species_type_simple", limit=50)
+    scaled, _ = numbers.standardise_columns(changes, ["mean_diff"])
+    design = models.design_columns({"species_type_simple": types}, [])
+    table = models.bootstrap_draws(scaled, "mean_diff", design, cluster="species", n_draws=N_BOOT)
+    return draws.point_intervals(table, widths=(0.66, 0.95))
+
+
 @register("variance_components")
 def _(spark, d):
     frame = survey_of_tables(spark, d).diversity_frame
