@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldtally.operators.lineage import cut
 from fieldtally.operators.ordered import add_rank
 
 # Visit measures, from orders of a nation in a quarter.
@@ -51,11 +52,9 @@ SITE_MEASURES = {
     "flooding_freq": "CAST((nation * 3) % 5 AS DOUBLE)",
 }
 
-# The remaining raw columns.
+# Raw columns of single records.
 RECORD_COLUMNS = {
     "no": "l_orderkey",
-    "cfr_id": "nation + 1",
-    "occasion": "occasion",
     "replicate_no": "l_linenumber",
     "gear": "CASE l_returnflag WHEN 'N' THEN 'Gill net' WHEN 'A' THEN 'Fyke net' ELSE 'Hook line' END",
     "gear_code": "CASE l_returnflag WHEN 'N' THEN 'GN' WHEN 'A' THEN 'FN' ELSE 'HL' END",
@@ -65,17 +64,6 @@ RECORD_COLUMNS = {
     "genus": "species_genus",
     "group": "species_group",
     "type": "species_type",
-    "category": "n_regionkey",
-    "category_1": "n_regionkey + 1",
-    "category_name": "CONCAT(r_name, ' (region ', CAST(n_regionkey AS STRING), ')')",
-    "fi_a_designated": "CASE WHEN nation % 2 = 0 THEN 'Yes' ELSE 'No' END",
-    "large_wb_yes_1_no_2": "1 + nation % 2",
-    "channel_1_earth_2_concrete_3_both": "nation % 4",
-    "type_inlet_outlet": "CASE nation % 4 WHEN 1 THEN 'Earth' WHEN 2 THEN 'Culvert' WHEN 3 THEN 'Water Gate' END",
-    "illegal_fishing_seen": "CASE (nation + occasion) % 3 WHEN 0 THEN 'No' WHEN 1 THEN 'Yes' END",
-    "water_bird": "CASE WHEN (nation + occasion) % 2 = 0 THEN 'no' ELSE 'Ducks' END",
-    "other_animal": "CASE WHEN (nation * occasion) % 3 = 0 THEN 'NO' ELSE 'Rats' END",
-    "weather": "CASE WHEN occasion % 2 = 0 THEN 'Sunny' ELSE 'Rainy' END",
     "net_l": "CAST(l_linenumber * 10 AS DOUBLE)",
     "net_area": "CAST(l_linenumber * 5 AS DOUBLE)",
     "depth_shore": "CAST(l_linenumber % 3 AS DOUBLE)",
@@ -89,6 +77,27 @@ RECORD_COLUMNS = {
     "min_weight": "ROUND(l_tax * 50)",
     "max_weight": "ROUND(l_tax * 50) + ROUND(l_discount * 50)",
     "mean_weight": "ROUND(l_quantity * 2)",
+}
+
+# Raw columns that belong to a visit.
+VISIT_COLUMNS = {
+    "occasion": "occasion",
+    "illegal_fishing_seen": "CASE (nation + occasion) % 3 WHEN 0 THEN 'No' WHEN 1 THEN 'Yes' END",
+    "water_bird": "CASE WHEN (nation + occasion) % 2 = 0 THEN 'no' ELSE 'Ducks' END",
+    "other_animal": "CASE WHEN (nation * occasion) % 3 = 0 THEN 'NO' ELSE 'Rats' END",
+    "weather": "CASE WHEN occasion % 2 = 0 THEN 'Sunny' ELSE 'Rainy' END",
+}
+
+# Raw columns that belong to a site.
+SITE_COLUMNS = {
+    "cfr_id": "nation + 1",
+    "category": "n_regionkey",
+    "category_1": "n_regionkey + 1",
+    "category_name": "CONCAT(r_name, ' (region ', CAST(n_regionkey AS STRING), ')')",
+    "fi_a_designated": "CASE WHEN nation % 2 = 0 THEN 'Yes' ELSE 'No' END",
+    "large_wb_yes_1_no_2": "1 + nation % 2",
+    "channel_1_earth_2_concrete_3_both": "nation % 4",
+    "type_inlet_outlet": "CASE nation % 4 WHEN 1 THEN 'Earth' WHEN 2 THEN 'Culvert' WHEN 3 THEN 'Water Gate' END",
     "cfr_name": "n_name",
     "village": "CONCAT('Village ', CAST(nation AS STRING))",
     "commune": "CONCAT('Commune ', CAST(nation % 10 AS STRING))",
@@ -160,25 +169,44 @@ def _species_attributes(parts: DataFrame) -> DataFrame:
     )
 
 
-def survey_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw survey records with the columns of the raw file."""
-    orders, parts = _orders_by_nation(spark, sf_dir), read_table(spark, sf_dir, "part")
+def _visit_table(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
+    """One row per visit with everything known about the visit and its site."""
+    first_visit = "CAST(DATEDIFF(ADD_MONTHS(DATE'1994-11-01', 3 * (occasion - 1)), DATE'1899-12-30') AS INT)"
     nations = read_table(spark, sf_dir, "nation").join(
         read_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    ).withColumn("nation", F.col("n_nationkey"))
+    described = _visits(orders).join(nations, "nation").join(_sites(spark, sf_dir), "nation", "left")
+    return described.selectExpr(
+        "nation AS visit_nation",
+        "occasion AS visit_occasion",
+        *[f"{e} AS `{c}`" for c, e in {**VISIT_COLUMNS, **SITE_COLUMNS}.items()],
+        f"{first_visit} AS date",
+        *VISIT_MEASURES,
+        *SITE_MEASURES,
     )
-    first_visit = "CAST(DATEDIFF(ADD_MONTHS(DATE'1994-11-01', 3 * (occasion - 1)), DATE'1899-12-30') AS INT)"
+
+
+def survey_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw survey records with the columns of the raw file.
+
+    Whatever belongs to a visit or a site is worked out once per visit and
+    written; records then join one table of known size, and are not shuffled for
+    it when it is small.
+    """
+    orders, parts = _orders_by_nation(spark, sf_dir), read_table(spark, sf_dir, "part")
+    named_parts = parts.join(_species_attributes(parts), F.col("p_name") == F.col("attribute_name"), "left")
+    visits = cut(_visit_table(spark, sf_dir, orders))
+    here = (F.col("nation") == F.col("visit_nation")) & (F.col("o_occasion") == F.col("visit_occasion"))
     records = (
         read_table(spark, sf_dir, "lineitem")
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .join(nations, F.col("nation") == F.col("n_nationkey"))
-        .join(_species_attributes(parts), F.col("p_name") == F.col("attribute_name"), "left")
-        .join(_visits(orders), ["nation", "occasion"], "left")
-        .join(_sites(spark, sf_dir), "nation", "left")
+        .join(orders.withColumnRenamed("occasion", "o_occasion"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(named_parts, F.col("l_partkey") == F.col("p_partkey"))
+        .join(visits, here)
     )
     return records.selectExpr(
         *[f"{e} AS `{c}`" for c, e in RECORD_COLUMNS.items()],
-        f"{first_visit} AS date",
+        *[f"`{c}`" for c in (*VISIT_COLUMNS, *SITE_COLUMNS)],
+        "date",
         *VISIT_MEASURES,
         *SITE_MEASURES,
     )

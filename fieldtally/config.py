@@ -24,3 +24,14 @@ class SurveyConfig:
     dry_months: tuple[int, ...] = (2, 5)
     n_perm: int = 999
     seed: int = 0
+
+
+# Session settings the operators are meant to run with. Survey tables are wide:
+# generated methods above 8000 bytecodes are not compiled by the JVM, so Spark
+# should fall back to smaller ones there.
+SESSION_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.session.timeZone": "UTC",
+}

@@ -2,11 +2,10 @@
 
 A window with no partition (or one partition per hot group) puts all rows on
 one task. The input is written once and counted: up to `ONE_TASK_ROWS` rows a
-plain window is used, beyond that the order is cut into ranges by split keys
-drawn from the data. Each range is a window partition of its own and only the
-per-range totals (at most `ranges` rows per group) are accumulated across them.
-Split keys come from a content hash, so the result does not depend on the
-physical partitioning, and retried tasks see the same ranges.
+plain window is used, beyond that the rows are range-partitioned. Each range is
+a window partition of its own and only the per-range totals (at most `ranges`
+rows per group) are accumulated across them. Any contiguous ranges give the same
+result.
 """
 
 from __future__ import annotations
@@ -23,19 +22,13 @@ ONE_TASK_ROWS = 200_000
 
 
 def split_ranges(df: DataFrame, keys: Sequence[str], *, ranges: int = RANGES) -> DataFrame:
-    """Add `_range`: contiguous, balanced pieces of the order given by `keys`."""
-    key = F.struct(*[F.col(k) for k in keys])
-    splits = (
-        df.select(key.alias("_key"), F.xxhash64(*keys).alias("_hash"))
-        .orderBy("_hash", "_key")
-        .limit(ranges - 1)
-        .agg(F.array_sort(F.collect_list("_key")).alias("_splits"))
-    )
-    return (
-        df.withColumn("_splits", splits.scalar())
-        .withColumn("_range", F.size(F.filter("_splits", lambda s: s < key)))
-        .drop("_splits")
-    )
+    """Add `_range`: contiguous, balanced pieces of the order given by `keys`.
+
+    Written once the rows are range-partitioned, so every later branch, and every
+    retried task, sees the same ranges.
+    """
+    spread = df.repartitionByRange(ranges, *[F.col(k) for k in keys])
+    return cut(spread.withColumn("_range", F.spark_partition_id()))
 
 
 def add_running(

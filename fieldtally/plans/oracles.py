@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 
-from fieldtally.adapters import RECORD_COLUMNS, SITE_MEASURES, VISIT_MEASURES
+from fieldtally.adapters import RECORD_COLUMNS, SITE_COLUMNS, SITE_MEASURES, VISIT_COLUMNS, VISIT_MEASURES
 from fieldtally.operators import dims
 from fieldtally.plans.queries import (
     CFG, EVENT_EFFECTS, EVENT_PARAMS, N_BOOT, N_PERM_SITES, NUMERIC_COVARIATES, SEASON_MEASURES, TBI_PREDICTORS,
@@ -75,7 +75,7 @@ CTES["part_attributes"] = """SELECT p_name AS attribute_name, arg_min(p_brand, p
   'Genus ' || (arg_min(p_size, p_partkey) % 9) AS species_genus, 'Group ' || (arg_min(p_size, p_partkey) % 5) AS species_group,
   arg_min(p_type, p_partkey) AS species_type FROM part GROUP BY p_name"""
 CTES["raw"] = (
-    "SELECT " + ", ".join(f'{e} AS "{c}"' for c, e in RECORD_COLUMNS.items())
+    "SELECT " + ", ".join(f'{e} AS "{c}"' for c, e in {**RECORD_COLUMNS, **VISIT_COLUMNS, **SITE_COLUMNS}.items())
     + ", date_diff('day', DATE '1899-12-30', CAST(DATE '1994-11-01' + to_months(CAST(3 * (o.occasion - 1) AS INTEGER)) AS DATE)) AS date, "
     + _cols(VISIT_MEASURES, "v.") + ", " + _cols(SITE_MEASURES, "t.")
     + """ FROM lineitem JOIN visit_orders o ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey

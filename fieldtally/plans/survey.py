@@ -15,26 +15,25 @@ from fieldtally.operators.lineage import cut
 class Survey:
     """Every table of the analysis, from raw records on; each is built when first asked for.
 
-    `store_clean` writes the clean fact table once, as a long-running analysis
-    would, so later tables read only the columns they need. `catch_full` and the
-    turnover table feed several analyses and are always written.
+    The clean fact table stays lazy: whoever reads it pays only for the columns
+    used. What feeds several analyses is written, as a long-running study would:
+    the catches (few columns), the dimension tables and the derived tables.
     """
 
-    def __init__(self, raw: DataFrame, config: SurveyConfig = SurveyConfig(), *, store_clean: bool = True):
-        self.raw, self.config, self.store_clean = raw, config, store_clean
+    def __init__(self, raw: DataFrame, config: SurveyConfig = SurveyConfig()):
+        self.raw, self.config = raw, config
 
     @cached_property
     def clean(self) -> DataFrame:
-        clean = cleaning.clean_survey(self.raw, self.config)
-        return cut(clean) if self.store_clean else clean
+        return cleaning.clean_survey(self.raw, self.config)
 
     @cached_property
     def refuge_info(self) -> DataFrame:
-        return dims.refuge_info(self.clean)
+        return cut(dims.refuge_info(self.clean))
 
     @cached_property
     def occasion_info(self) -> DataFrame:
-        return dims.occasion_info(self.clean)
+        return cut(dims.occasion_info(self.clean))
 
     @cached_property
     def sampling_info(self) -> DataFrame:
@@ -42,11 +41,11 @@ class Survey:
 
     @cached_property
     def species_info(self) -> DataFrame:
-        return dims.species_info(self.clean, self.config)
+        return cut(dims.species_info(self.clean, self.config))
 
     @cached_property
     def catch_info(self) -> DataFrame:
-        return dims.catch_info(self.clean)
+        return cut(dims.catch_info(self.clean))
 
     @cached_property
     def occasion_covariates(self) -> DataFrame:

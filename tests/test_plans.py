@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as contract
 from fieldtally.config import SurveyConfig
-from fieldtally.operators import dims, diversity, effort, turnover
+from fieldtally.operators import diversity, effort, turnover
 from fieldtally.plans.survey import survey_of_tables
 from tools.check_oracles import as_rows
 
@@ -32,7 +32,7 @@ def test_contract(spark):
 def test_core_operators_stay_in_the_engine(spark, sf_dir):
     s = survey_of_tables(spark, sf_dir)
     config = SurveyConfig(complete_years=6)
-    catch = dims.catch_info(s.clean)
+    catch = s.catch_info
     for df in (
         effort.effort_totals(catch, config),
         diversity.alpha_diversity(effort.effort_totals(catch, config, standard=False), transform="log1p"),
@@ -44,9 +44,9 @@ def test_core_operators_stay_in_the_engine(spark, sf_dir):
 
 
 def test_scan_reads_only_needed_columns(spark, sf_dir):
-    text = plan(effort.max_replicates(dims.catch_info(survey_of_tables(spark, sf_dir).clean)))
+    text = plan(effort.max_replicates(survey_of_tables(spark, sf_dir).catch_info))
     scans = [line for line in text.splitlines() if "FileScan" in line]
-    assert scans and all("total_weight" not in line and "cfr_name" not in line for line in scans)
+    assert scans and all("total_weight" not in line and "species" not in line.split("ReadSchema")[1] for line in scans)
     assert all("EqualTo(gear,GN)" in line for line in scans)
 
 
