@@ -13,7 +13,7 @@ from fieldtally.plans.queries import (
 
 
 def R(expr: str, name: str, digits: int = 6) -> str:
-    return f"round({expr}, {digits}) + 0.0 AS {name}"
+    return f"CAST(round({expr}, {digits}) AS DOUBLE) + 0.0 AS {name}"
 
 
 def t_p(t: str, df: str, n: int = 1200) -> str:
