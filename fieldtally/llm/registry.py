@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm import bitslices, htmltext, langid, packing, simhash
+from fieldtally.llm import bitslices, htmltext, langid, mixing, packing, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.PRODUCTION)
+
+
 def op2_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslices.top_k(table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 50 == 0, k=5)
 
@@ -38,6 +42,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
     "op2_bit_sliced_top_k": op2_bit_sliced_top_k,
     "op5_language_id": op5_language_id,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 ORACLES: dict[str, str] = {
+    "op1_source_mixing": mixing.mix_sql(mixing.PRODUCTION),
     "op2_bit_sliced_top_k": """
         WITH usable AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
