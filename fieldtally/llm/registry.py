@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm import bitslices, htmltext, langid, mixing, packing, simhash
+from fieldtally.llm import bitslices, htmltext, langid, mixing, packing, phrases, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op2_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslices.top_k(table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 50 == 0, k=5)
 
 
+def op3_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.dedupe_passages(table(spark, sf_dir, "documents"))
+    words = F.trim(F.regexp_replace("kept_text", r"[\x20\x09-\x0D]+", " "))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -44,6 +50,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_bit_sliced_top_k": op2_bit_sliced_top_k,
+    "op3_phrase_automata": op3_phrase_automata,
     "op5_language_id": op5_language_id,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_html_tree_scoring": op7_html_tree_scoring,
