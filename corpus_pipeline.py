@@ -1,0 +1,78 @@
+"""From raw documents to packed token sequences: five stages, each one operator over all that its predecessor kept."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldtally.llm import langid, mixing, packing, phrases, simhash
+from fieldtally.operators.lineage import cut
+
+LEAST_CONFIDENCE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose language cannot be told: no letters, or a score below `LEAST_CONFIDENCE`.
+
+    Null and empty texts go; null languages are only not learned from.
+    """
+    model = langid.fit(docs.select("doc_id", "text", "lang"), learnable=~langid.held_out(4, 2))
+    told = langid.predict(docs, model, label="__language", score="__confidence")
+    sure = (F.col("__language") != langid.UNKNOWN) & (F.col("__confidence") >= LEAST_CONFIDENCE)
+    return told.where(sure).select(*docs.columns)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest doc_id of every near-duplicate group.
+
+    Of rows that repeat a doc_id one stays. Rows without doc_id cannot be told from their copies and stay.
+    """
+    members = cut(simhash.near_duplicates(docs.select("doc_id", "text")))
+    kept = members.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    once = docs.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi")
+    several = docs.join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(several).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take passages of 13 words and more out of all documents but their first; documents left without a word go."""
+    found = phrases.dedupe_passages(docs.select("doc_id", "text")).where("n_removed > 0")
+    changed = found.select(F.col("doc_id").alias("__id"), F.col("kept_text").alias("__text"), (F.col("n_removed") == F.col("n_words")).alias("__gone"))
+    joined = docs.join(cut(changed), F.col("doc_id") == F.col("__id"), "left").where("not coalesce(__gone, false)")
+    text = F.coalesce("__text", "text")
+    new = {"text": text, "n_chars": F.when(F.col("__text").isNull(), F.col("n_chars")).otherwise(F.length("__text"))} if "n_chars" in docs.columns else {"text": text}
+    return joined.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the target weights select, once for each epoch they are selected in.
+
+    Rows that share a doc_id (or have none) are selected together.
+    """
+    chosen = mixing.mix(docs.select("doc_id", "text", "lang", "source"), mixing.PRODUCTION)
+    chosen = cut(chosen.select(F.col("doc_id").alias("__id"), "epoch").distinct()).select("__id")
+    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id"))).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 4096 tokens."""
+    return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("simhash_dedup", simhash_dedup),
+    ("substring_dedup", substring_dedup),
+    ("source_mixing", source_mixing),
+    ("best_fit_packing", best_fit_packing),
+]
+# Training, automata and packing have no SQL form; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir))
+    return docs

@@ -177,15 +177,15 @@ def fit(docs: DataFrame, *, learnable: Column, per_class: int = PER_CLASS) -> Mo
     return Model(classes, table, state[FEATURES], float(state[FEATURES + 1, 0]))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of `docs`, lang_pred and score (calibrated probability of the predicted language).
+def predict(docs: DataFrame, model: Model, *, label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of `docs`, `label` and `score` (calibrated probability of the predicted language).
 
     Texts that are null or hold no letter get `und` and score 0, as does everything where
     nothing could be learned. Existing columns of those two names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("lang_pred", "score")
-    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    kept = docs.drop(label, score)
+    schema = StructType([*kept.schema.fields, StructField(label, StringType()), StructField(score, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -197,13 +197,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     sums = sum(np.add.reduceat(m.table[f], starts, axis=0, dtype=np.float64) for f in features)
                     counts = sum(np.add.reduceat(f < FEATURES, starts, dtype=np.int64) for f in features)
                     chances = softmax((sums / np.maximum(1, counts)[:, None] + m.bias) / m.temperature)
-                    best, letters = chances.argmax(axis=1), letters
-                    score = np.where(letters, chances.max(axis=1), 0.0)
-                    label = names[np.where(letters, best, len(m.classes))]
+                    best = chances.argmax(axis=1)
+                    sure = np.where(letters, chances.max(axis=1), 0.0)
+                    named = names[np.where(letters, best, len(m.classes))]
                 else:
-                    score, label = np.zeros(piece.num_rows), np.full(piece.num_rows, UNKNOWN, object)
-                out = [*piece.columns, pa.array(label, pa.string()), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(out, names=[*piece.schema.names, "lang_pred", "score"])
+                    sure, named = np.zeros(piece.num_rows), np.full(piece.num_rows, UNKNOWN, object)
+                out = [*piece.columns, pa.array(named, pa.string()), pa.array(sure)]
+                yield pa.RecordBatch.from_arrays(out, names=[*piece.schema.names, label, score])
 
     return kept.mapInArrow(run, schema)
 
