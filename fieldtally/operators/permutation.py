@@ -111,7 +111,7 @@ def sign_flip_test(
     )
 
 
-def add_holm(df: DataFrame, p: str, name: str, **tuning: int) -> DataFrame:
+def add_holm(df: DataFrame, p: str, name: str, *, ranges: int | None = None) -> DataFrame:
     """Holm-adjusted p-values; NULL stays NULL and does not count as a test.
 
     Equal p-values share their adjusted value, so the step-down runs over
@@ -119,8 +119,7 @@ def add_holm(df: DataFrame, p: str, name: str, **tuning: int) -> DataFrame:
     """
     held = cut(df)
     distinct = held.where(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("_n"))
-    counted = add_running(distinct, order=[p], sums={"_before": "_n"}, totals={"_m": "_n"}, **tuning)
-    stepped = counted.select(p, ((F.col("_m") - F.col("_before")) * F.col(p)).alias("_step"))
-    peaked = add_running(stepped, order=[p], maxima={"_peak": "_step"}, **tuning)
+    step = (F.col("_m") - F.col("_before")) * F.col(p)
+    peaked = add_running(distinct, order=[p], sums={"_before": "_n"}, totals={"_m": "_n"}, maxima={"_peak": step}, ranges=ranges)
     adjusted = peaked.select(p, F.least(F.col("_peak"), F.lit(1.0)).alias(name))
     return held.join(adjusted, p, "left").select(*df.columns, name)

@@ -66,3 +66,23 @@ def test_matches_sql(spark, sf_dir, db, name):
     columns = [c[0] for c in cursor.description]
     assert sorted(columns) == sorted(df.columns)
     assert as_rows(df.columns, df.collect()) == as_rows(columns, cursor.fetchall())
+
+
+def test_unshared_folder_is_refused_off_local(spark, monkeypatch):
+    """Without a named folder, a cluster must not fall back to one machine's disk."""
+    import pytest
+
+    from fieldtally.operators import lineage
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        lineage.shared_folder(Session())
