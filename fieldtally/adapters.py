@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fieldtally.operators.lineage import cut
 from fieldtally.operators.ordered import add_rank
 
-# Visit measures, from orders of a nation in a quarter.
+# Visit measures, from orders of a nation in a quarter.
 VISIT_MEASURES = {
     "total_hours": "CAST(n_orders AS DOUBLE)",
     "gauge_start": "low_price / 1000",
@@ -29,7 +29,7 @@ VISIT_MEASURES = {
     "brush_park": "CAST(n_orders % 7 AS DOUBLE)",
 }
 
-# Site measures, from customers and suppliers of a nation.
+# Site measures, from customers and suppliers of a nation.
 SITE_MEASURES = {
     "area_dry_ha": "CAST(site_customers AS DOUBLE)",
     "area_wet_ha": "CAST(site_customers AS DOUBLE) * 3",
@@ -52,7 +52,7 @@ SITE_MEASURES = {
     "flooding_freq": "CAST((nation * 3) % 5 AS DOUBLE)",
 }
 
-# Raw columns of single records.
+# Raw columns of single records.
 RECORD_COLUMNS = {
     "no": "l_orderkey",
     "replicate_no": "l_linenumber",
@@ -79,7 +79,7 @@ RECORD_COLUMNS = {
     "mean_weight": "ROUND(l_quantity * 2)",
 }
 
-# Raw columns that belong to a visit.
+# Raw columns that belong to a visit.
 VISIT_COLUMNS = {
     "occasion": "occasion",
     "illegal_fishing_seen": "CASE (nation + occasion) % 3 WHEN 0 THEN 'No' WHEN 1 THEN 'Yes' END",
@@ -88,7 +88,7 @@ VISIT_COLUMNS = {
     "weather": "CASE WHEN occasion % 2 = 0 THEN 'Sunny' ELSE 'Rainy' END",
 }
 
-# Raw columns that belong to a site.
+# Raw columns that belong to a site.
 SITE_COLUMNS = {
     "cfr_id": "nation + 1",
     "category": "n_regionkey",

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ SITE_CATEGORIES = {
     "Demarcated area in larger water body": "(4) Large water body",
 }
 
-# Wording for the parts of a dissimilarity.
+# Wording for the parts of a dissimilarity.
 DISSIMILARITY_PARTS = {
     "bstnd": "Dissimilarity due to losses",
     "cstnd": "Dissimilarity due to gains",
@@ -81,3 +83,14 @@ def widest_same_side(value: Column, low: Column, high: Column) -> Column:
     low_fits, high_fits = F.signum(low) == side, F.signum(high) == side
     farther = F.when(F.abs(low) >= F.abs(high), low).otherwise(high)
     return F.when(low_fits & high_fits, farther).when(low_fits, low).when(high_fits, high)
+
+
+def ordered_levels(levels: Iterable[str]) -> list[str]:
+    """Levels of a category in order, "None" first: the first one is the base of contrasts."""
+    return sorted(levels, key=lambda level: (level != "None", level))
+
+
+def base_level(col: Column) -> Column:
+    """Aggregate: the first of a column's levels in that order."""
+    name = col.cast("string")
+    return F.min(F.when(name.isNotNull(), F.struct((name != "None").alias("other"), name.alias("level"))))["level"]

@@ -50,26 +50,21 @@ def log1p_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.log1p(F.col(c)) for c in columns})
 
 
-def standardise_columns(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Z-scores with the sample standard deviation, and their one-row parameters."""
-    params = df.agg(
-        *[F.avg(c).alias(f"{c}_center") for c in columns],
-        *[F.stddev_samp(c).alias(f"{c}_scale") for c in columns],
-    )
+def standardise_columns(df: DataFrame, columns: Sequence[str], *, params: str = "_scaling") -> DataFrame:
+    """Z-scores with the sample standard deviation; the struct column `params` holds `<column>_center` and `_scale`."""
     both = df.agg(
         F.struct(
             *[F.avg(c).alias(f"{c}_center") for c in columns],
             *[F.stddev_samp(c).alias(f"{c}_scale") for c in columns],
         ).alias("p")
     ).scalar()
-    held = df.withColumn("_scaling", both)
-    scaled = held.withColumns(
+    held = df.withColumn(params, both)
+    return held.withColumns(
         {
-            c: F.try_divide(F.col(c) - F.col(f"_scaling.{c}_center"), F.col(f"_scaling.{c}_scale"))
+            c: F.try_divide(F.col(c) - F.col(f"{params}.{c}_center"), F.col(f"{params}.{c}_scale"))
             for c in columns
         }
     )
-    return scaled.drop("_scaling"), params
 
 
 def unstandardise(col: Column, center: Column, scale: Column) -> Column:

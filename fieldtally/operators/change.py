@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldtally.config import SurveyConfig
 from fieldtally.functions import numbers, text
-from fieldtally.operators.ordered import add_running
+from fieldtally.operators.ordered import add_rank, add_running
 from fieldtally.operators.permutation import add_holm, sign_flip_test
 
 
@@ -81,10 +81,13 @@ def dry_season_occurrence(catch_full: DataFrame, *, top: int = 10) -> DataFrame:
 def species_report(
     catch_full: DataFrame, changes: DataFrame, config: SurveyConfig = SurveyConfig(), *, alpha: float = 0.05
 ) -> DataFrame:
-    """Species with a notable change or a high abundance, formatted for print."""
+    """Species with a notable change or a high abundance, formatted for print; `place` is their order by p-value."""
     joined = changes.join(dry_season_occurrence(catch_full), "species", "full")
     adjusted = add_holm(joined, "p_value_perm", "p_value_perm_adjust")
-    return adjusted.where((F.col("p_value_perm") <= alpha) | F.col("top")).select(
+    notable = adjusted.where((F.col("p_value_perm") <= alpha) | F.col("top"))
+    last = F.lit(2.0)  # beyond any p-value: species without a test come last
+    keyed = notable.withColumns({"_p": F.coalesce("p_value_perm", last), "_q": F.coalesce("p_value_perm_adjust", last)})
+    return add_rank(keyed, "place", order=["_p", "_q", "species"]).select(
         "species",
         "species_name",
         "species_type_simple",
@@ -94,6 +97,7 @@ def species_report(
         text.number_text(F.col("mean_count"), 1).alias("mean_count"),
         text.percent_text(F.col("perc_samplings")).alias("perc_samplings"),
         "top",
+        "place",
     )
 
 

@@ -185,5 +185,5 @@ def turnover_model_frame(
     fixed = set(turnover.columns)
     numeric = [c for c, kind in joined.dtypes if kind in ("double", "int", "bigint") and c not in fixed]
     flags = [c for c, kind in joined.dtypes if kind == "boolean"]
-    scaled, _ = numbers.standardise_columns(joined, numeric)
+    scaled = numbers.standardise_columns(joined, numeric).drop("_scaling")
     return scaled.withColumns({c: labels.yes_no(F.col(c)) for c in flags})

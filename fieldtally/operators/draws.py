@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldtally.functions import labels, text
 from fieldtally.operators.ordered import group_quantiles
 from fieldtally.operators.permutation import hash_uint32
+from fieldtally.operators.reshape import only_value
 
 LINKS = {
     "identity": lambda c: c,
@@ -31,7 +32,7 @@ def draws_to_long(wide: DataFrame, *, draw: str = "draw", pattern: str = ".*") -
 
 def draws_to_wide(draws: DataFrame, params: Sequence[str]) -> DataFrame:
     """One row per draw with the named parameters as columns."""
-    return draws.groupBy("draw").pivot("param", list(params)).agg(F.first("value"))
+    return draws.groupBy("draw").pivot("param", list(params)).agg(only_value("value"))
 
 
 def first_draws(draws: DataFrame, n: int) -> DataFrame:
@@ -123,16 +124,18 @@ def predict_draws(
     """Prediction of every draw at every grid row.
 
     `terms` maps a parameter to the grid column it multiplies. The grid holds a
-    few chosen covariate settings: it becomes one array that each draw explodes,
-    so draws are not shuffled again.
+    chosen covariate settings. Draws are dealt evenly over parts and every part
+    joins a copy of the grid, so neither side is gathered.
     """
     params = [*([intercept] if intercept else []), *terms]
     wide = draws_to_wide(draws, params).dropna(subset=params)
-    rows = grid.agg(F.array_sort(F.collect_list(F.struct(*grid.columns)))).scalar()
     linear = F.col(intercept) if intercept else F.lit(0.0)
     for param, column in terms.items():
         linear = linear + F.col(param) * F.col(f"_grid.{column}")
-    return wide.withColumn("_grid", F.explode(rows)).select(
+    parts = int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = grid.select(F.struct(*grid.columns).alias("_grid"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    dealt = wide.withColumn("_part", F.pmod(F.xxhash64("draw"), F.lit(parts)).cast("int"))
+    return dealt.join(copies, "_part").select(
         "draw", "_grid.*", LINKS[link](linear).alias("value")
     )
 
@@ -201,8 +204,8 @@ def group_effect_table(draws: DataFrame, *, share: float = 0.1, seed: int = 0) -
 
 
 def base_levels(frame: DataFrame, variables: Sequence[str]) -> DataFrame:
-    """First level of each categorical variable."""
-    first = frame.agg(*[F.min(F.col(v).cast("string")).alias(v) for v in variables])
+    """First level of each categorical variable, "None" before all others."""
+    first = frame.agg(*[labels.base_level(F.col(v)).alias(v) for v in variables])
     return first.unpivot([], list(variables), "variable", "base_level")
 
 

@@ -12,6 +12,8 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldtally.functions import labels
+from fieldtally.operators.lineage import cut
 from fieldtally.operators.permutation import hash_uint32
 
 
@@ -62,10 +64,10 @@ def compare_models(candidates: Sequence[tuple[str, DataFrame, str, Sequence[str]
 
 
 def design_columns(levels: dict[str, Sequence[str]], numeric: Sequence[str]) -> dict[str, Column]:
-    """Intercept, treatment contrasts (first level is the baseline) and numeric terms."""
+    """Intercept, treatment contrasts (first level is the baseline, "None" before all others) and numeric terms."""
     columns: dict[str, Column] = {"(Intercept)": F.lit(1.0)}
     for variable, names in levels.items():
-        for level in sorted(names)[1:]:
+        for level in labels.ordered_levels(names)[1:]:
             columns[f"{variable}{level}"] = F.when(F.col(variable) == level, 1.0).otherwise(0.0)
     for variable in numeric:
         columns[variable] = F.col(variable).cast("double")
@@ -240,7 +242,7 @@ def subset_models(
             yield pd.DataFrame(out, columns=["model", "n_terms", "aic"])
 
     masks = spark.range(2 ** len(predictors)).withColumnRenamed("id", "mask").where(F.bit_count("mask") <= most)
-    scored = masks.mapInPandas(score, "model string, n_terms int, aic double")
+    scored = cut(masks.mapInPandas(score, "model string, n_terms int, aic double"))
     best = scored.agg(F.min("aic")).scalar()
     relative = scored.withColumn("_rel", F.exp(-0.5 * (F.col("aic") - best)))
     total = relative.agg(F.sum("_rel")).scalar()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,19 +40,24 @@ def level_list(df: DataFrame, column: str, *, limit: int) -> list[str]:
     return sorted(row[0] for row in rows)
 
 
+def only_value(column: str) -> Column:
+    """Aggregate: the value of a group's single row; an error where there are several."""
+    several = F.raise_error(F.lit(f"several rows for one cell of {column}"))
+    return F.when(F.count(F.lit(1)) > 1, several).otherwise(F.max(column))
+
+
 def to_wide(
     df: DataFrame,
     *,
     keys: Sequence[str],
     names: str,
     values: str,
-    levels: Sequence[str] | None = None,
+    levels: Sequence[str],
     fill: float | None = 0.0,
-    limit: int = 2000,
 ) -> DataFrame:
-    """One column per level of `names`; (keys, names) must be unique."""
-    levels = list(levels) if levels is not None else level_list(df, names, limit=limit)
-    wide = df.groupBy(*keys).pivot(names, levels).agg(F.first(values))
+    """One column per given level of `names`; several rows for one cell are an error."""
+    levels = list(levels)
+    wide = df.groupBy(*keys).pivot(names, levels).agg(only_value(values))
     return wide if fill is None else wide.fillna(fill, subset=levels)
 
 
@@ -59,27 +66,29 @@ def to_long(df: DataFrame, *, keys: Sequence[str], columns: Sequence[str], names
 
 
 def levels_array(df: DataFrame, column: str) -> Column:
-    """All distinct levels of a column as one array (a scalar subquery)."""
-    return df.select(column).distinct().agg(F.array_sort(F.collect_list(column))).scalar()
+    """All distinct levels of a column, NULL too, as one array of structs (a scalar subquery)."""
+    return df.select(column).distinct().agg(F.array_sort(F.collect_list(F.struct(F.col(column).alias("level"))))).scalar()
 
 
 def full_grid(df: DataFrame, dimensions: Sequence[str]) -> DataFrame:
-    """Every combination of observed levels.
+    """Every combination of observed levels; NULL is a level where it occurs.
 
     The first dimension stays distributed as rows; the others are exploded from
     arrays of their levels. The output is as large as the grid asked for.
     """
-    grid = df.select(dimensions[0]).where(F.col(dimensions[0]).isNotNull()).distinct()
+    grid = df.select(dimensions[0]).distinct()
     for name in dimensions[1:]:
-        grid = grid.withColumn(name, F.explode(levels_array(df, name)))
+        grid = grid.withColumn(name, F.explode(levels_array(df, name))).withColumn(name, F.col(name)["level"])
     return grid
 
 
 def complete_counts(df: DataFrame, dimensions: Sequence[str], *, name: str = "n") -> DataFrame:
     """Row count for every combination of levels, zero where none was seen."""
     counts = df.groupBy(*dimensions).agg(F.count(F.lit(1)).alias(name))
-    filled = full_grid(counts, dimensions).join(counts, list(dimensions), "left")
-    return filled.withColumn(name, F.coalesce(F.col(name), F.lit(0)))
+    seen = counts.select(*[F.col(c).alias(f"_{c}") for c in dimensions], name)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in dimensions]
+    filled = full_grid(counts, dimensions).join(seen, reduce(and_, same), "left")
+    return filled.select(*dimensions, F.coalesce(F.col(name), F.lit(0)).alias(name))
 
 
 def monthly_change_table(catch_full: DataFrame) -> DataFrame:

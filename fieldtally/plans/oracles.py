@@ -366,8 +366,9 @@ ORACLES["effort_totals_tagged"] = """SELECT refuge, occasion, gear, species, no_
   UNION ALL SELECT refuge, occasion, gear, species, no_fish, round(total_weight, 6), n_samples, 'raw_totals' FROM raw_totals"""
 ORACLES["effort_mean_scaled"] = "SELECT refuge, occasion, gear, species, no_fish, total_weight FROM mean_totals"
 ORACLES["catch_full"] = "SELECT year_s, season, month, refuge, species, count FROM catch_full"
-ORACLES["catch_wide"] = r"""SELECT year_s, season, month, refuge, coalesce(COLUMNS('(^sp.+)'), 0) + 0.0 AS '\1' FROM
-  (PIVOT catch_full ON species USING sum(count) GROUP BY year_s, season, month, refuge)"""
+ORACLES["catch_wide"] = "SELECT year_s, refuge, species, " + ", ".join(
+    f"coalesce(sum(count) FILTER (month = '{m}'), 0) + 0.0 AS m_{m}" for m in (2, 5, 8, 11)
+) + " FROM catch_full GROUP BY ALL"
 ORACLES["change_table"] = "SELECT month, year_s, refuge, species, " + R("ln(1 + count)", "log_count") + " FROM catch_full"
 _alpha_out = ", ".join(["refuge, occasion, gear", R("diversity_alpha", "diversity_alpha"), "index", R("base", "base"), "transform_fun", "n_samples"])
 ORACLES["alpha_shannon"] = f"SELECT {_alpha_out} FROM alpha_raw"
@@ -434,12 +435,13 @@ ORACLES["species_table"] = f"""SELECT species, species_name, species_type_simple
   printf('%.1f', round((exp(mean_diff) - 1) * 100, 1) + 0.0) || '%' AS perc_change,
   CASE WHEN p_value_perm IS NOT NULL THEN {p_text('p_value_perm')} END AS p_value_perm,
   CASE WHEN p_value_perm_adjust IS NOT NULL THEN {p_text('p_value_perm_adjust')} END AS p_value_perm_adjust,
-  printf('%.1f', round(mean_count, 1)) AS mean_count, printf('%.1f', round(perc_samplings * 100, 1)) || '%' AS perc_samplings, top
+  printf('%.1f', round(mean_count, 1)) AS mean_count, printf('%.1f', round(perc_samplings * 100, 1)) || '%' AS  perc_samplings, top,
+  row_number() OVER (ORDER BY report.p_value_perm NULLS LAST, report.p_value_perm_adjust NULLS LAST, species) AS place
   FROM report WHERE p_value_perm <= 0.05 OR top"""
 ORACLES["species_occurrence"] = every("occurrence", ["mean_count", "mean_count_pres", "perc_samplings"], ["species", "top"])
 ORACLES["species_cumulative_share"] = every("cumulative", ["total_count", "perc_count", "share_before"], ["species"])
 ORACLES["top_species"] = """SELECT CASE WHEN len(l) = 1 THEN l[1] ELSE array_to_string(l[1:-2], ', ') || ', and ' || l[-1] END AS species_list, len(l) AS n_species FROM
-  (SELECT list(species_name ORDER BY total_count DESC, species) AS l FROM cumulative LEFT JOIN (SELECT species, species_name FROM species_info) USING (species) WHERE share_before < 0.1)"""
+  (SELECT list(species_name ORDER BY total_count DESC, species) AS l FROM cumulative LEFT JOIN (SELECT species, species_name FROM species_info) USING (species) WHERE share_before < 0.5)"""
 ORACLES["gear_bias"] = f"""SELECT species, gear, n, {R('CASE WHEN n > 0 THEN ln(n) END', 'log_n')}, species_rank,
   CAST(least(7, greatest(1, ceil((species_rank - 1) / ((max(species_rank) OVER () - 1) / 7.0)))) AS INTEGER) AS species_bin FROM
   (SELECT s.species, g.gear, coalesce(n, 0) AS n, species_rank FROM
@@ -632,7 +634,7 @@ ORACLES["draw_group_effect"] = intervals("shifted", "category, level", (0.66, 0.
 ORACLES["draw_broadcast_total"] = f"SELECT draw, param, {R('value', 'value')}, {R('error', 'total_value')} FROM drawn JOIN draw_wide USING (draw)"
 ORACLES["draw_sample"] = f"SELECT draw, param, {R('value', 'value')} FROM drawn WHERE {hash32(chr(39) + '0' + chr(39), 'draw::VARCHAR')} < {int(0.1 * 2**32)}"
 ORACLES["draw_first"] = f"SELECT draw, param, {R('value', 'value')} FROM drawn WHERE draw <= 999"
-CTES["channel_base"] = "SELECT min(channel_type) AS base FROM tbi_frame"
+CTES["channel_base"] = "SELECT coalesce(min(channel_type) FILTER (channel_type = 'None'), min(channel_type)) AS base FROM tbi_frame"
 CTES["slopes"] = "SELECT * FROM named_params WHERE param LIKE 'b_%' AND param NOT LIKE '%Intercept%'"
 CTES["slope_intervals"] = intervals("slopes", "param", (0.66, 0.95))
 CTES["slope_parsed"] = """SELECT *, regexp_extract(param, '^b_([a-z]+)_', 1) AS response, nullif(regexp_extract(param, '[A-Z].+$'), '') AS level,

@@ -18,7 +18,7 @@ from fieldtally.plans.survey import TABLES_CONFIG, survey_of_tables
 
 CFG = TABLES_CONFIG
 N_PERM_SITES = 99
-N_BOOT = 50
+N_BOOT = 200
 
 NUMERIC_COVARIATES = [
     "diversity_alpha", "water_level", "water_temp", "visibility", "aquatic_plant_area", "aquatic_plant_index",
@@ -182,7 +182,9 @@ def _(spark, d):
 @register("catch_wide")
 def _(spark, d):
     full = survey_of_tables(spark, d).catch_full
-    return reshape.to_wide(full, keys=["year_s", "season", "month", "refuge"], names="species", values="count")
+    months = [str(m) for m in (2, 5, 8, 11)]
+    wide = reshape.to_wide(full, keys=["year_s", "refuge", "species"], names="month", values="count", levels=months)
+    return wide.withColumnsRenamed({m: f"m_{m}" for m in months})
 
 
 @register("change_table")
@@ -286,7 +288,7 @@ def _(spark, d):
 @register("top_species")
 def _(spark, d):
     s = survey_of_tables(spark, d)
-    return change.top_species_text(s.catch_full, s.species_info, threshold=0.1)
+    return change.top_species_text(s.catch_full, s.species_info)
 
 
 # --- exploration ----------------------------------------------------------------
@@ -466,16 +468,16 @@ def _(spark, d):
 
 @register("z_scores")
 def _(spark, d):
-    scaled, _ = numbers.standardise_columns(read_table(spark, d, "customer"), ["c_acctbal"])
+    scaled = numbers.standardise_columns(read_table(spark, d, "customer"), ["c_acctbal"])
     return scaled.select("c_custkey", "c_acctbal")
 
 
 @register("z_score_parameters")
 def _(spark, d):
     customer = read_table(spark, d, "customer")
-    scaled, params = numbers.standardise_columns(customer, ["c_acctbal"])
+    scaled = numbers.standardise_columns(customer, ["c_acctbal"], params="p").select("c_mktsegment", "c_acctbal", "p.*")
     back = numbers.unstandardise(F.col("c_acctbal"), F.col("c_acctbal_center"), F.col("c_acctbal_scale"))
-    return scaled.groupBy("c_mktsegment").agg(F.max("c_acctbal").alias("c_acctbal")).join(params).select(
+    return scaled.groupBy("c_mktsegment").agg(F.max("c_acctbal").alias("c_acctbal"), *[F.first(f"c_acctbal_{p}").alias(f"c_acctbal_{p}") for p in ("center", "scale")]).select(
         "c_mktsegment", "c_acctbal_center", "c_acctbal_scale", back.alias("largest")
     )
 
@@ -595,7 +597,7 @@ def _(spark, d):
 @register("pca_dry_pairs")
 def _(spark, d):
     pairs = dims.occasion_covariates_turnover(survey_of_tables(spark, d).occasion_info, CFG)
-    return ordination.pca(pairs, reshape.columns_like(pairs.drop("year_s"), numeric=True)).variables
+    return ordination.pca(pairs, reshape.columns_like(pairs.drop("year_s", "water_temp_diff", "gauge_start_diff"), numeric=True)).variables
 
 
 @register("pca_sites")
@@ -870,7 +872,7 @@ def _(spark, d):
 def _(spark, d):
     changes = cut(survey_of_tables(spark, d).species_changes)
     types = reshape.level_list(changes, "species_type_simple", limit=50)
-    scaled, _ = numbers.standardise_columns(changes, ["mean_diff"])
+    scaled = numbers.standardise_columns(changes, ["mean_diff"]).drop("_scaling")
     design = models.design_columns({"species_type_simple": types}, [])
     table = models.bootstrap_draws(scaled, "mean_diff", design, cluster="species", n_draws=N_BOOT)
     return draws.point_intervals(table, widths=(0.66, 0.95))

@@ -15,9 +15,9 @@ from fieldtally.operators.lineage import cut
 class Survey:
     """Every table of the analysis, from raw records on; each is built when first asked for.
 
-    The clean fact table stays lazy: whoever reads it pays only for the columns
-    used. What feeds several analyses is written, as a long-running study would:
-    the catches (few columns), the dimension tables and the derived tables.
+    The clean fact table is written once, so the raw joins and all cleaning run once;
+    whoever reads it pays only for the columns used. The dimension tables and the
+    derived tables that feed several analyses are written as well.
     """
 
     def __init__(self, raw: DataFrame, config: SurveyConfig = SurveyConfig()):
@@ -25,7 +25,7 @@ class Survey:
 
     @cached_property
     def clean(self) -> DataFrame:
-        return cleaning.clean_survey(self.raw, self.config)
+        return cut(cleaning.clean_survey(self.raw, self.config))
 
     @cached_property
     def refuge_info(self) -> DataFrame:
@@ -103,12 +103,19 @@ class Survey:
 
 # The test tables have six complete flood years.
 TABLES_CONFIG = SurveyConfig(complete_years=6)
-_STORED: dict[tuple[str, str], Survey] = {}
+_STORED: dict[tuple, Survey] = {}
+
+
+def _file_state(spark: SparkSession, folder: str) -> tuple:
+    """Names, lengths and change times of a folder's entries, as the file system gives them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found)
 
 
 def survey_of_tables(spark: SparkSession, sf_dir: str, *, fresh: bool = False) -> Survey:
-    """The survey read from the order-and-parts tables; stored tables are shared within a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The survey read from the order-and-parts tables; stored tables are shared within a session while the files stay as they are."""
+    key = (spark.sparkContext.applicationId, sf_dir, _file_state(spark, sf_dir))
     if fresh or key not in _STORED:
         _STORED[key] = Survey(survey_from_tables(spark, sf_dir), TABLES_CONFIG)
     return _STORED[key]

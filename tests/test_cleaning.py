@@ -86,10 +86,16 @@ def test_grid_and_wide(spark):
     got = {(r.s, r.g): r.n for r in reshape.complete_counts(df, ["s", "g"]).collect()}
     assert got == {("a", "x"): 2, ("a", "y"): 0, ("b", "x"): 0, ("b", "y"): 1}
     counts = df.groupBy("s", "g").agg(F.count("*").alias("n"))
-    wide = reshape.to_wide(counts, keys=["s"], names="g", values="n", fill=0)
+    wide = reshape.to_wide(counts, keys=["s"], names="g", values="n", levels=["x", "y"], fill=0)
     assert sorted(map(tuple, wide.collect())) == [("a", 2, 0), ("b", 0, 1)]
-    with pytest.raises(ValueError, match="keep the table long"):
-        reshape.to_wide(counts, keys=["s"], names="g", values="n", limit=1)
+    with pytest.raises(Exception, match="several rows for one cell"):
+        reshape.to_wide(df.withColumn("n", F.lit(1)), keys=["s"], names="g", values="n", levels=["x"], fill=0).collect()
+
+
+def test_grid_keeps_missing_levels(spark):
+    df = spark.createDataFrame([("a", None), ("a", None), (None, "y")], "s string, g string")
+    got = {(r.s, r.g): r.n for r in reshape.complete_counts(df, ["s", "g"]).collect()}
+    assert got == {("a", None): 2, ("a", "y"): 0, (None, None): 0, (None, "y"): 1}
 
 
 def test_column_selection(spark):

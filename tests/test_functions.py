@@ -71,8 +71,8 @@ def test_logit_and_percent_change(one):
 
 def test_scaling_round_trip(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "x double")
-    scaled, params = numbers.standardise_columns(df, ["x"])
-    p = params.first()
+    scaled = numbers.standardise_columns(df, ["x"], params="p")
+    p = scaled.first().p
     z = [r.x for r in scaled.collect()]
     assert np.std(z, ddof=1) == pytest.approx(1.0)
     back = scaled.select(numbers.unstandardise(F.col("x"), F.lit(p.x_center), F.lit(p.x_scale))).collect()
@@ -111,3 +111,18 @@ def test_tail_probabilities():
 def test_site_category_labels(one):
     full = "Community pond within agricultural land prone to flood"
     assert one(labels.short_category(F.lit(full)), labels.short_category(F.lit(full), digit_only=True)) == ("(3) Flooding pond", "3")
+
+
+def test_none_is_the_base_level(spark):
+    from fieldtally.functions import labels
+    from fieldtally.operators import draws, models
+
+    levels = ["Water Gate", "Earth", "None"]
+    assert labels.ordered_levels(levels) == ["None", "Earth", "Water Gate"]
+    df = spark.createDataFrame([(v, "b") for v in [*levels, None]], "channel string, shape string")
+    bases = {r.variable: r.base_level for r in draws.base_levels(df, ["channel", "shape"]).collect()}
+    assert bases == {"channel": "None", "shape": "b"}
+    assert list(models.design_columns({"channel": levels}, [])) == ["(Intercept)", "channelEarth", "channelWater Gate"]
+    table = spark.createDataFrame([(k, "b_bstnd_channelEarth", float(k)) for k in range(20)], "draw long, param string, value double")
+    shown = {r.var_level for r in draws.effect_sizes(table, draws.base_levels(df, ["channel"])).collect()}
+    assert shown == {"channel (Earth vs. None)"}
