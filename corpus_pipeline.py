@@ -12,14 +12,23 @@ from fieldtally.operators.lineage import cut
 LEAST_CONFIDENCE = 0.4
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name that `docs` does not use."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language cannot be told: no letters, or a score below `LEAST_CONFIDENCE`.
 
     Null and empty texts go; null languages are only not learned from.
     """
     model = langid.fit(docs.select("doc_id", "text", "lang"), learnable=~langid.held_out(4, 2))
-    told = langid.predict(docs, model, label="__language", score="__confidence")
-    sure = (F.col("__language") != langid.UNKNOWN) & (F.col("__confidence") >= LEAST_CONFIDENCE)
+    label, score = _free("language", docs), _free("confidence", docs)
+    told = langid.predict(docs, model, label=label, score=score)
+    sure = (F.col(label) != langid.UNKNOWN) & (F.col(score) >= LEAST_CONFIDENCE)
     return told.where(sure).select(*docs.columns)
 
 
@@ -38,10 +47,14 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take passages of 13 words and more out of all documents but their first; documents left without a word go."""
     found = phrases.dedupe_passages(docs.select("doc_id", "text")).where("n_removed > 0")
-    changed = found.select(F.col("doc_id").alias("__id"), F.col("kept_text").alias("__text"), (F.col("n_removed") == F.col("n_words")).alias("__gone"))
-    joined = docs.join(cut(changed), F.col("doc_id") == F.col("__id"), "left").where("not coalesce(__gone, false)")
-    text = F.coalesce("__text", "text")
-    new = {"text": text, "n_chars": F.when(F.col("__text").isNull(), F.col("n_chars")).otherwise(F.length("__text"))} if "n_chars" in docs.columns else {"text": text}
+    change = _free("change", docs)
+    row = F.struct("doc_id", "kept_text", (F.col("n_removed") == F.col("n_words")).alias("gone")).alias(change)
+    joined = docs.join(cut(found.select(row)), F.col("doc_id") == F.col(f"{change}.doc_id"), "left")
+    joined = joined.where(~F.coalesce(F.col(f"{change}.gone"), F.lit(False)))
+    kept = F.col(f"{change}.kept_text")
+    new = {"text": F.coalesce(kept, "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(kept.isNull(), F.col("n_chars")).otherwise(F.length(kept))
     return joined.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -51,8 +64,9 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows that share a doc_id (or have none) are selected together.
     """
     chosen = mixing.mix(docs.select("doc_id", "text", "lang", "source"), mixing.PRODUCTION)
-    chosen = cut(chosen.select(F.col("doc_id").alias("__id"), "epoch").distinct()).select("__id")
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id"))).select(*docs.columns)
+    name = _free("chosen", docs)
+    chosen = cut(chosen.select(F.col("doc_id").alias(name), "epoch").distinct()).select(name)
+    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col(name))).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
