@@ -23,6 +23,7 @@ from fieldtally.operators.lineage import cut
 
 WINDOW = 13
 GRAM = 4
+PATTERN = 6  # words of an automaton's phrases
 SHARD_BYTES = 2 << 20
 
 
@@ -62,33 +63,63 @@ def _passages(needed: DataFrame, window: int) -> DataFrame:
                 edges = np.diff(np.concatenate([[0], wanted.astype(np.int8), [0]]))
                 starts, stops = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
                 rows = words.owners()[starts] if len(starts) else starts
-                texts = [words.data[words.starts[a] : words.ends[b + window - 2]].tobytes() for a, b in zip(starts, stops)]
+                texts = [words.data[words.starts[a] : words.ends[b + window - 2]].tobytes().decode() for a, b in zip(starts, stops)]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("shard").take(pa.array(rows)), piece.column("doc_id").take(pa.array(rows)), pa.array(texts, pa.binary())],
+                    [piece.column("shard").take(pa.array(rows)), piece.column("doc_id").take(pa.array(rows)), pa.array(texts, pa.string())],
                     names=["shard", "first_id", "passage"],
                 )
 
-    return needed.select("shard", "doc_id", "text", "hashes").mapInArrow(run, "shard int, first_id long, passage binary")
+    return needed.select("shard", "doc_id", "text", "hashes").mapInArrow(run, "shard int, first_id long, passage string")
+
+
+def _agreeing(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common beginning of two arrays, looked up in growing steps."""
+    n, at, step = min(len(a), len(b)), 0, 32
+    while at < n:
+        differ = a[at : at + step] != b[at : at + step] if at + step <= n else a[at:n] != b[at:n]
+        if differ.any():
+            return at + int(differ.argmax())
+        at, step = at + len(differ), 2 * step
+    return n
 
 
 class PhraseAutomaton:
-    """Aho-Corasick automaton over word numbers: each pattern is one window, its value the smallest doc_id that holds it."""
+    """Aho-Corasick automaton over word numbers that finds every window of the given passages in a text.
+
+    Patterns are the content-selected phrases of `gram` words of all distinct windows; any
+    window holds one. A phrase found is extended left and right along the passage word by word,
+    so what is reported are common runs of at least `window` words.
+    """
 
-    def __init__(self, passages: list[bytes], first_ids: list[int], window: int):
+    def __init__(self, passages: list[str], first_ids: list[int], window: int, gram: int = PATTERN):
         import ahocorasick
 
-        self.numbers: dict[bytes, int] = {}
-        self.window = window
+        self.window, self.gram, self.numbers = window, gram, {}
+        order = sorted(range(len(passages)), key=lambda k: (first_ids[k], passages[k]))
+        words = Words.of(pa.array([passages[k] for k in order], pa.string()))
+        self.first_ids = [first_ids[k] for k in order]
+        self.bounds = words.first.tolist()
+        number = self.numbers.setdefault
+        texts = words.data.tobytes()
+        self.ids = np.array(
+            [number(w, len(self.numbers) + 1) for a, b in zip(words.at[:-1], words.at[1:]) for w in texts[a:b].split()], np.int32
+        )
+        hashes = words.hashes()
+        anchors, inside = window_anchors(words, hashes, window, gram)
+        every, _ = words.grams(hashes, window)
+        starts = np.flatnonzero(inside)
+        starts = starts[np.unique(every[starts], return_index=True)[1]]  # one place a window, under the smallest id
+        grams, _ = words.grams(hashes, gram)
+        offsets = np.arange(window - gram + 1)
+        places = np.unique(starts + (grams[starts[:, None] + offsets] == anchors[starts, None]).argmax(axis=1)) if len(starts) else starts
+        patterns: dict[tuple, list[int]] = {}
+        for g in places.tolist():
+            patterns.setdefault(tuple(self.ids[g : g + gram].tolist()), []).append(g)
+        self.owner = dict(zip(places.tolist(), (np.searchsorted(words.first, places, "right") - 1).tolist()))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        number, get, add = self.numbers.setdefault, self.automaton.get, self.automaton.add_word
-        # smallest ids first, so that the first entry of a pattern stays
-        for first_id, passage in sorted(zip(first_ids, passages)):
-            word_ids = [number(w, len(self.numbers) + 1) for w in passage.split()]
-            for begin in range(len(word_ids) - window + 1):
-                pattern = tuple(word_ids[begin : begin + window])
-                if get(pattern, None) is None:
-                    add(pattern, first_id)
-        if len(self.automaton):
+        for pattern, found in patterns.items():
+            self.automaton.add_word(pattern, found)
+        if patterns:
             self.automaton.make_automaton()
 
     def removed(self, words: list[bytes], doc_id: int) -> np.ndarray:
@@ -96,10 +127,23 @@ class PhraseAutomaton:
         covered = np.zeros(len(words) + 1, np.int64)
         if len(self.automaton) and len(words) >= self.window:
             get = self.numbers.get
-            for last, first_id in self.automaton.iter(tuple([get(w, 0) for w in words])):
-                if first_id < doc_id:
-                    covered[last + 1 - self.window] += 1
-                    covered[last + 1] -= 1
+            ids = [get(w, 0) for w in words]
+            here, reached, gram = np.array(ids, np.int32), {}, self.gram
+            for last, places in self.automaton.iter(tuple(ids)):
+                for g in places:
+                    shift = g - last
+                    if reached.get(shift, -1) >= last:
+                        continue
+                    owner = self.owner[g]
+                    if self.first_ids[owner] >= doc_id:
+                        continue
+                    low, high, i = self.bounds[owner], self.bounds[owner + 1], last - gram + 1
+                    back = _agreeing(here[:i][::-1], self.ids[low:g][::-1])
+                    ahead = _agreeing(here[last + 1 :], self.ids[g + gram : high])
+                    reached[shift] = last + ahead
+                    if back + gram + ahead >= self.window:
+                        covered[i - back] += 1
+                        covered[last + 1 + ahead] -= 1
         return np.cumsum(covered[:-1]) > 0
 
 
@@ -129,22 +173,30 @@ def dedupe_passages(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM)
     shards = max(1, -(-volume // SHARD_BYTES))
     shard = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards)).cast("int")
     uses = windows.join(recurring, "hash").where("doc_id > first_id")
-    wanted = uses.groupBy("first_id", shard.alias("shard")).agg(F.collect_set("hash").alias("hashes"))
+    wanted = cut(uses.groupBy("first_id", shard.alias("shard")).agg(F.collect_set("hash").alias("hashes"), F.collect_set("doc_id").alias("takers")))
     sources = some.select(F.col("doc_id").alias("first_id"), "text")
-    needed = cut(wanted).join(sources, "first_id").withColumnRenamed("first_id", "doc_id")
-    passages = cut(_passages(needed, window))
+    needed = wanted.join(sources, "first_id").withColumnRenamed("first_id", "doc_id")
+    # a shard's documents that take part in copies come along as rows without a passage
+    takers = wanted.select("shard", F.explode("takers").alias("first_id")).distinct().withColumn("passage", F.lit(None).cast("string"))
+    passages = cut(_passages(needed, window).unionByName(takers))
 
     def locate(left: pa.Table, right: pa.Table) -> pa.Table:
-        automaton = PhraseAutomaton(right.column("passage").to_pylist(), right.column("first_id").to_pylist(), window)
+        taker = right.column("passage").is_null()
+        takers = set(right.column("first_id").filter(taker).to_pylist())
+        found = right.filter(pa.compute.invert(taker))
+        automaton = PhraseAutomaton(found.column("passage").to_pylist(), found.column("first_id").to_pylist(), window)
         out = []
         for batch in left.to_batches():
             words = Words.of(batch.column("text"))
             data = words.data.tobytes()
             for row, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                 text = data[words.at[row] : words.at[row + 1]]
-                gone = automaton.removed(text.split(), doc_id)
-                kept = _without(text, words, row, gone) if gone.any() else text
-                out.append((doc_id, len(gone), int(gone.sum()), kept.decode("utf-8", "replace")))
+                n_words, n_removed = int(words.counts[row]), 0
+                if doc_id in takers:
+                    gone = automaton.removed(text.split(), doc_id)
+                    n_removed = int(gone.sum())
+                    text = _without(text, words, row, gone) if n_removed else text
+                out.append((doc_id, n_words, n_removed, text.decode("utf-8", "replace")))
         columns = list(zip(*out)) or [()] * 4
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n_words", "n_removed", "kept_text"])

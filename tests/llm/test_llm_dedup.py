@@ -45,7 +45,7 @@ def test_phrases_keep_untouched_texts_as_they_are(documents, odd_rows):
 
 def test_automaton_takes_the_smallest_holder():
     words = [b"w%d" % k for k in range(20)]
-    automaton = phrases.PhraseAutomaton([b" ".join(words), b" ".join(words[2:])], [7, 3], 5)
+    automaton = phrases.PhraseAutomaton([b" ".join(words).decode(), b" ".join(words[2:]).decode()], [7, 3], 5, 2)
     assert automaton.removed(words, 5).tolist() == [False] * 2 + [True] * 18
     assert automaton.removed(words, 3).sum() == 0 and automaton.removed(words, 9).all()
 
