@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 PIECE_BYTES = 2 << 20  # working memory of the vectorised steps, not a limit on texts
 _SPACE = np.zeros(256, bool)
@@ -13,6 +14,12 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ONE = np.uint64(1)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, in a session that hands texts to Python a thousand at a time: whole texts are long, and every batch is held twice."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts and the n + 1 offsets between them; null counts as empty."""
     column = column.cast(pa.large_string()).fill_null("")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from fieldtally.llm.batches import pieces
+from fieldtally.llm.batches import pieces, small_batches
 from fieldtally.llm.calibration import fit_temperature, softmax
 
 FEATURE_BITS = 17
@@ -99,7 +99,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["feature", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
+    rows = small_batches(docs.select("text")).mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(FEATURES + 2, np.int64)
     counts[rows["feature"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return counts[:FEATURES], int(counts[-1])
@@ -205,7 +205,7 @@ def predict(docs: DataFrame, model: Model, *, label: str = "lang_pred", score: s
                 out = [*piece.columns, pa.array(named, pa.string()), pa.array(sure)]
                 yield pa.RecordBatch.from_arrays(out, names=[*piece.schema.names, label, score])
 
-    return kept.mapInArrow(run, schema)
+    return small_batches(kept).mapInArrow(run, schema)
 
 
 def held_out(modulus: int, remainder: int) -> Column:

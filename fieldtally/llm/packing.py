@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.batches import text_bytes
+from fieldtally.llm.batches import small_batches, text_bytes
 from fieldtally.operators.lineage import cut
 
 CAPACITY = 4096
@@ -102,7 +102,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, e
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "_task", "_row"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return small_batches(own).mapInArrow(run, _SCHEMA)
 
 
 def group_sizes(large: np.ndarray, groups: int) -> np.ndarray:

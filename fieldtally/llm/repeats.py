@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.batches import Words, pieces, sliding_min
+from fieldtally.llm.batches import Words, pieces, sliding_min, small_batches
 from fieldtally.operators.lineage import cut
 
 
@@ -49,7 +49,7 @@ def anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 ids = piece.column("doc_id").to_numpy()[owner]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.view(np.int64))], names=["doc_id", "key"])
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, key long")
+    return small_batches(docs.select("doc_id", "text").where("doc_id is not null")).mapInArrow(run, "doc_id long, key long")
 
 
 def with_shared_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:

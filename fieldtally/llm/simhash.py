@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.batches import text_bytes
+from fieldtally.llm.batches import small_batches, text_bytes
 from fieldtally.llm.components import smallest_reachable
 from fieldtally.operators.lineage import cut
 
@@ -57,7 +57,8 @@ def fingerprints(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS) -> Data
             out = np.array([fingerprint(data[a:b].tobytes(), shingle_words) for a, b in zip(at[:-1], at[1:])], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return small_batches(own).mapInArrow(run, "doc_id long, fp long")
 
 
 def bit_planes(prints: np.ndarray) -> np.ndarray:
