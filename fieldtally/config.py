@@ -22,7 +22,7 @@ class SurveyConfig:
     complete_years: int = 3
     comparisons: tuple[tuple[str, str], ...] = (("2", "5"), ("5", "8"), ("5", "11"))
     dry_months: tuple[int, ...] = (2, 5)
-    n_perm: int = 999
+    n_perm: int = 9999
     seed: int = 0
 
 

@@ -87,8 +87,8 @@ def repair_text(col: Column, *, encoding: str = "latin1") -> Column:
 
 
 def number_text(col: Column, decimals: int) -> Column:
-    """Fixed-decimal text without digit grouping."""
-    return F.regexp_replace(F.format_number(col, decimals), ",", "")
+    """Fixed-decimal text without digit grouping; halves of the decimal value go to the even digit."""
+    return F.regexp_replace(F.format_number(F.bround(col.cast("double"), decimals), decimals), ",", "")
 
 
 def percent_text(col: Column, decimals: int = 1) -> Column:

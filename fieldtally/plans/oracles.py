@@ -428,7 +428,7 @@ ORACLES["species_change"] = every(
 
 
 def p_text(p: str) -> str:
-    return f"CASE WHEN printf('%.3f', round({p}, 3)) = '0.000' THEN '<0.001' ELSE printf('%.3f', round({p}, 3)) END"
+    return f"CASE WHEN printf('%.3f', round_even({p}, 3)) = '0.000' THEN '<0.001' ELSE printf('%.3f', round_even({p}, 3)) END"
 
 
 ORACLES["species_table"] = f"""SELECT species, species_name, species_type_simple,
