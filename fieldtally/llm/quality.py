@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from fieldtally.llm.batches import Words, mix, pieces
+from fieldtally.llm.batches import Words, mix, pieces, small_batches
 from fieldtally.llm.calibration import fit_temperature, softmax
 from fieldtally.llm.langid import held_out
 from fieldtally.operators.lineage import cut
@@ -65,7 +65,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((VOCABULARY, DIMENSIONS), np.int32)
         for batch in batches:
-            for piece in pieces(batch, limit=8 << 20):
+            for piece in pieces(batch):
                 total += context_counts(Words.of(piece.column("text"))).astype(np.int32)
         stripes = total.reshape(-1, STRIPE * DIMENSIONS)
         held = np.flatnonzero(stripes.any(axis=1))
@@ -79,7 +79,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
             total += np.frombuffer(part.as_buffer(), "<i4")
         return pa.table({"stripe": table.column("stripe")[:1], "sums": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
-    parts = docs.select("text").mapInArrow(run, "stripe long, sums binary")
+    parts = small_batches(docs.select("text")).mapInArrow(run, "stripe long, sums binary")
     # a task's part is one row a stripe, so two rounds keep any group small
     parts = parts.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(64)))
     first = parts.groupBy("stripe", "_part").applyInArrow(_add_integers, "stripe long, sums binary")
@@ -177,9 +177,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, learnable: Column, sample: int =
                 found = pooled(Words.of(piece.column("text")), shared.value)
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.list_(pa.float64())), piece.column("label")], names=["pool", "label"])
 
-    learned = rows.mapInArrow(pool, "pool array<double>, label long").orderBy("label", "pool").toPandas()
+    learned = rows.mapInArrow(pool, "pool array<double>, label long").toPandas()
     pools = np.stack(learned["pool"].to_numpy()) if len(learned) else np.zeros((0, 2 * DIMENSIONS + 1))
-    order = np.random.default_rng(5).permutation(len(pools))
+    # an order of its own, whatever partitions the rows came from
+    order = np.lexsort((*pools.T, learned["label"].to_numpy()))[np.random.default_rng(5).permutation(len(pools))]
     return train(pools[order], learned["label"].to_numpy(np.int64)[order], vectors)
 
 
@@ -199,7 +200,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 found = m.scores(pooled(Words.of(piece.column("text")), m.vectors))
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(found)], names=[*piece.schema.names, "score"])
 
-    return kept.mapInArrow(run, schema)
+    return small_batches(kept).mapInArrow(run, schema)
 
 
 def assess(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3) -> DataFrame:
