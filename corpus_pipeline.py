@@ -61,12 +61,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the target weights select, once for each epoch they are selected in.
 
-    Rows that share a doc_id (or have none) are selected together.
+    Rows of one leaf that share a doc_id (or have none) are selected together.
     """
-    chosen = mixing.mix(docs.select("doc_id", "text", "lang", "source"), mixing.PRODUCTION)
-    name = _free("chosen", docs)
-    chosen = cut(chosen.select(F.col("doc_id").alias(name), "epoch").distinct()).select(name)
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col(name))).select(*docs.columns)
+    return mixing.mixed_rows(docs, mixing.PRODUCTION)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

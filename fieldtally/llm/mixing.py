@@ -82,6 +82,16 @@ def leaf_budgets(documents: DataFrame, target: Target) -> DataFrame:
     return above
 
 
+def _leaf_columns(target: Target) -> dict[str, Column]:
+    source, lang = F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))
+    return {"domain": _lookup(source, target.domain_of, target.other_domain), "lang": lang, "source": source}
+
+
+def _order(target: Target, whole: Column) -> Column:
+    """Place of a document in the seeded order of epoch `whole`."""
+    return F.md5(F.concat_ws("|", F.lit(str(target.seed)), whole.cast("string"), F.col("doc_id").cast("long").cast("string")))
+
+
 def mix(docs: DataFrame, target: Target) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens, epoch: one row per selected document and epoch.
 
@@ -91,12 +101,39 @@ def mix(docs: DataFrame, target: Target) -> DataFrame:
     with whole epochs and prefixes, a leaf without tokens gives none), null doc_ids share one place in
     the order, repeated rows count as documents of their own. Extra columns are ignored.
     """
-    source, lang = F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))
+    ready, prefix = _selected(docs, target)
+    out = ["doc_id", *LEVELS, "n_tokens", "epoch"]
+    repeated = ready.where("whole > 0").withColumn("epoch", F.explode(F.expr("sequence(0, whole - 1)"))).select(*out)
+    return repeated.unionByName(prefix.withColumn("epoch", F.col("whole")).select(*out))
+
+
+def mixed_rows(docs: DataFrame, target: Target) -> DataFrame:
+    """The whole rows of `docs` that `mix` selects, each once for every epoch it is selected in.
+
+    A leaf's last epoch is a prefix of its order, so one place a leaf says which rows it
+    takes and the texts need not move. Rows of one leaf that share a doc_id (or have none)
+    are selected together.
+    """
+    ready, prefix = _selected(docs, target)
+    reach = prefix.groupBy(*LEVELS).agg(F.max("order").alias("reach"))
+    leaves = cut(ready.select(*LEVELS, "whole").distinct().join(reach, list(LEVELS), "left"))
+    taken, name = {c.lower() for c in docs.columns}, "leaf"
+    while name in taken:
+        name += "_"
+    leaf = leaves.select(F.struct(*leaves.columns).alias(name))
+    same = [column == F.col(f"{name}.{level}") for level, column in _leaf_columns(target).items()]
+    whole = F.col(f"{name}.whole")
+    times = whole + F.when(_order(target, whole) <= F.col(f"{name}.reach"), 1).otherwise(0)
+    repeats = F.explode(F.array_repeat(F.lit(0), times)).alias(name)
+    return docs.join(leaf, same).select(*[F.col(f"`{c}`") for c in docs.columns], repeats).drop(name)
+
+
+def _selected(docs: DataFrame, target: Target) -> tuple[DataFrame, DataFrame]:
+    """All documents of leaves with a budget (`whole` epochs each), and the `order` prefix of the epoch after those."""
+    levels = _leaf_columns(target)
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        _lookup(source, target.domain_of, target.other_domain).alias("domain"),
-        lang.alias("lang"),
-        source.alias("source"),
+        *[levels[name].alias(name) for name in LEVELS],
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
     )
     held = cut(narrow)
@@ -107,12 +144,9 @@ def mix(docs: DataFrame, target: Target) -> DataFrame:
         F.ceil(F.col("docs") / F.lit(BUCKET_DOCS)).alias("buckets"),
     )
     ready = held.join(budgets, list(LEVELS))
-    out = ["doc_id", *LEVELS, "n_tokens", "epoch"]
-    repeated = ready.where("whole > 0").withColumn("epoch", F.explode(F.expr("sequence(0, whole - 1)"))).select(*out)
     # the last epoch: a seeded order, cut into buckets of neighbouring places that are summed first
-    order = F.md5(F.concat_ws("|", F.lit(str(target.seed)), F.col("whole").cast("string"), F.col("doc_id").cast("string")))
     place = F.conv(F.substring("order", 1, 10), 16, 10).cast("long")
-    last = ready.where("rest > 0").withColumn("order", order).withColumn("bucket", F.shiftright(place * F.col("buckets"), 40))
+    last = ready.where("rest > 0").withColumn("order", _order(target, F.col("whole"))).withColumn("bucket", F.shiftright(place * F.col("buckets"), 40))
     keys = [*LEVELS, "bucket"]
     sums = last.groupBy(*keys).agg(F.sum("n_tokens").alias("inside"))
     earlier = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -120,8 +154,7 @@ def mix(docs: DataFrame, target: Target) -> DataFrame:
     reached = last.join(starts, keys).where("bucket_start < rest")
     within = Window.partitionBy(*keys).orderBy("order", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("bucket_start") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))
-    prefix = reached.withColumn("start", start).where("start < rest").withColumn("epoch", F.col("whole")).select(*out)
-    return repeated.unionByName(prefix)
+    return ready, reached.withColumn("start", start).where("start < rest")
 
 
 def mix_sql(target: Target) -> str:
