@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm import bitslices, htmltext, langid, mixing, packing, phrases, quality, simhash, spotsigs, suffixes
+from fieldtally.llm import bitslices, htmltext, langid, mixing, packing, phrases, quality, simhash, spotsigs, suffixes, turnrepair
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turnrepair.repair(table(spark, sf_dir, "conversations"), damaged=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_bit_sliced_top_k": op2_bit_sliced_top_k,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_sparse_suffixes": op10_sparse_suffixes,
+    "op11_structure_repair": op11_structure_repair,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
