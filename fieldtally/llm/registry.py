@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm import bitslices, htmltext, langid, mixing, packing, phrases, prefixtrie, quality, simhash, spotsigs, suffixes, turnrepair
+from fieldtally.llm import bitslices, htmltext, langid, lmscore, mixing, packing, phrases, prefixtrie, quality, simhash, spotsigs, suffixes, turnrepair
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.language_model_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_bit_sliced_top_k": op2_bit_sliced_top_k,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sparse_suffixes": op10_sparse_suffixes,
     "op11_structure_repair": op11_structure_repair,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_deleted_interpolation": op13_deleted_interpolation,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
