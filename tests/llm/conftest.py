@@ -14,6 +14,11 @@ def with_clashes(df):
     return df
 
 
+@pytest.fixture(scope="session")
+def clashing():
+    return with_clashes
+
+
 @pytest.fixture(scope="session")
 def documents(spark):
     """Rows (doc_id, text, lang, source) as a documents table with clashing extra columns."""
