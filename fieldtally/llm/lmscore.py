@@ -13,6 +13,7 @@ elsewhere too; the others occur once, so their count is known.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from fieldtally.llm.batches import Words, mix, pieces, text_bytes
 from fieldtally.operators.lineage import cut
 
-BLOCK_BYTES = 4 << 20  # text of a block; a longer text is a block of its own
+BLOCK_BYTES = 8 << 20  # text of a block; a longer text is a block of its own
 SHARD_KEYS = 1 << 21  # tokens whose n-grams share a shard, on average
 BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 START, END = np.uint64(0x5BF0A8B14577D0E3), np.uint64(0x1C69B3F74AC4AE35)
@@ -47,17 +48,42 @@ def rows_per_batch(spark: SparkSession, rows: int):
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Counts, one byte each; from 255 on, in full behind."""
+    """Counts, one byte each; from 255 on, in full behind. Most are small, so the bytes are deflated."""
     small = np.minimum(values, 255).astype(np.uint8)
-    return small.tobytes() + values[values >= 255].astype("<i8").tobytes()
+    return zlib.compress(small.tobytes() + values[values >= 255].astype("<i8").tobytes(), 1)
 
 
 def unpack(data: bytes, n: int) -> np.ndarray:
+    data = zlib.decompress(data)
     values = np.frombuffer(data, np.uint8, n).astype(np.int64)
     values[values == 255] = np.frombuffer(data, "<i8", offset=n)
     return values
 
 
+def pack_numbers(values: np.ndarray) -> bytes:
+    """Small numbers, two bytes each, high bytes apart; from 65,535 on, in full behind. Deflated."""
+    small = np.minimum(values, 65_535).astype("<u2").view(np.uint8).reshape(-1, 2).T
+    return zlib.compress(small.tobytes() + values[values >= 65_535].astype("<i4").tobytes(), 1)
+
+
+def unpack_numbers(data: bytes, n: int) -> np.ndarray:
+    data = zlib.decompress(data)
+    values = np.ascontiguousarray(np.frombuffer(data, np.uint8, 2 * n).reshape(2, n).T).view("<u2").reshape(-1).astype(np.int32)
+    values[values == 65_535] = np.frombuffer(data, "<i4", offset=2 * n)
+    return values
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, high bytes apart, so that compression finds their zeros."""
+    steps = np.diff(keys, prepend=np.zeros(1, np.uint64))
+    return steps.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T)
+    return np.cumsum(steps.view(">u8").reshape(-1).astype(np.uint64), dtype=np.uint64)
+
+
 def pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Hash of two hashes, in order."""
     return mix(left * np.uint64(0xD6E8FEB86659FD93) + right)
@@ -69,7 +95,7 @@ class Block:
     def __init__(self, vocabulary: bytes, tokens: bytes, lengths: bytes, uses: bytes):
         self.lengths, self.uses = np.frombuffer(lengths, "<i8"), np.frombuffer(uses, np.uint8)
         self.words = np.frombuffer(vocabulary, "<u8")
-        self.tokens = np.frombuffer(tokens, "<i4")
+        self.tokens = unpack_numbers(tokens, int(self.lengths.sum()))
         self.use = np.repeat(self.uses, self.lengths)
         self.first = np.zeros(len(self.tokens), bool)
         self.first[np.cumsum(self.lengths) - self.lengths] = True
@@ -110,7 +136,11 @@ def make_blocks(docs: DataFrame) -> DataFrame:
                 inner = np.ones(len(every), bool)
                 inner[np.cumsum(counts) - 1] = False
                 every[inner] = words.hashes()
-                vocabulary, tokens = np.unique(every, return_inverse=True)
+                vocabulary, tokens, frequencies = np.unique(every, return_inverse=True, return_counts=True)
+                order = np.argsort(-frequencies, kind="stable")  # frequent words get small numbers
+                number_of = np.empty(len(order), np.int64)
+                number_of[order] = np.arange(len(order))
+                vocabulary, tokens = vocabulary[order], number_of[tokens]
                 number += 1
                 one = {
                     "block": pa.array([number - 1]), "doc_ids": pa.array([piece.column("doc_id").to_pylist()], pa.list_(pa.int64())),
@@ -118,7 +148,7 @@ def make_blocks(docs: DataFrame) -> DataFrame:
                     "lengths": pa.array([counts.astype("<i8").tobytes()], pa.binary()),
                     "uses": pa.array([piece.column("use").to_numpy().astype(np.uint8).tobytes()], pa.binary()),
                     "vocabulary": pa.array([vocabulary.astype("<u8").tobytes()], pa.binary()),
-                    "tokens": pa.array([tokens.astype("<i4").tobytes()], pa.binary()),
+                    "tokens": pa.array([pack_numbers(tokens)], pa.binary()),
                     "n_tokens": pa.array([len(every)], pa.int64()),
                     "n_learned": pa.array([int(counts[piece.column("use").to_numpy() != SCORED].sum())], pa.int64()),
                 }
@@ -141,14 +171,14 @@ def _asked(kind: int, block: int, keys: np.ndarray, use: np.ndarray, shards: int
     counts = [np.bincount(place[use == u], minlength=len(distinct)) for u in (SCORED, COUNTED, DELETED)]
     names, edges = shard_edges(distinct, shards)
     rows = (
-        (int(s), kind, block, distinct[a:b].astype("<u8").tobytes(), *[pack(c[a:b]) for c in counts])
+        (int(s), kind, block, pack_keys(distinct[a:b]), *[pack(c[a:b]) for c in counts])
         for s, a, b in zip(names, edges[:-1], edges[1:])
     )
     return rows, place
 
 
 REQUEST = "shard long, kind int, block long, keys binary, scored binary, counted binary, deleted binary"
-REPLY = "block long, kind int, shard long, counted binary, learned binary, several binary"
+REPLY = "block long, kind int, shard long, learned binary, counted binary"
 
 
 def _requests(rows: list[tuple]) -> pa.RecordBatch:
@@ -157,22 +187,37 @@ def _requests(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in REQUEST.split(", ")])
 
 
+def with_recurrence(learned: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """One number for a learned count and whether the n-gram occurs twice or more in all texts: two counts up imply it."""
+    return np.where(learned >= 2, learned + 2, 2 * learned + several)
+
+
+def without_recurrence(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.where(values >= 4, values - 2, values // 2), (values >= 4) | (values % 2 == 1)
+
+
 def answer(table: pa.Table) -> pa.Table:
-    """Sums of one shard's counts, sent back to each block that asked; block -1 gets the shard's totals."""
-    keys = [np.frombuffer(k, "<u8") for k in table.column("keys").to_pylist()]
-    counts = {c: np.concatenate([unpack(d, len(k)) for d, k in zip(table.column(c).to_pylist(), keys)]) for c in ("scored", "counted", "deleted")}
+    """Sums of one shard's counts, sent back to each block that asked; block -1 gets the shard's totals.
+
+    What the undeleted texts counted is sent for n-grams of deleted texts only.
+    """
+    keys = [unpack_keys(k) for k in table.column("keys").to_pylist()]
+    read = lambda c: [unpack(d, len(k)) for d, k in zip(table.column(c).to_pylist(), keys)]
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = {c: np.bincount(place, weights=v, minlength=len(distinct)).astype(np.int64) for c, v in counts.items()}
-    learned = sums["counted"] + sums["deleted"]
-    several = np.minimum(learned + sums["scored"], 2)
+    add = lambda parts: np.bincount(place, weights=np.concatenate(parts), minlength=len(distinct)).astype(np.int64)
+    own = read("deleted")
+    counted, scored = add(read("counted")), add(read("scored"))
+    learned = counted + add(own)
+    coded = with_recurrence(learned, learned + scored >= 2)
     edges = np.cumsum([0, *map(len, keys)])
-    answers = [[pack(v[place[a:b]]) for a, b in zip(edges[:-1], edges[1:])] for v in (sums["counted"], learned, several)]
-    totals = np.array([sums["counted"].sum(), learned.sum(), (sums["counted"] > 0).sum(), (learned > 0).sum()], "<i8").tobytes()
+    places = [place[a:b] for a, b in zip(edges[:-1], edges[1:])]
+    totals = np.array([counted.sum(), learned.sum(), (counted > 0).sum(), (learned > 0).sum()], "<i8").tobytes()
     n = table.num_rows + 1
     return pa.table({
         "block": pa.array([*table.column("block").to_pylist(), -1], pa.int64()), "kind": pa.array([table.column("kind")[0].as_py()] * n, pa.int32()),
-        "shard": pa.array([table.column("shard")[0].as_py()] * n, pa.int64()), "counted": pa.array([*answers[0], totals], pa.binary()),
-        "learned": pa.array([*answers[1], b""], pa.binary()), "several": pa.array([*answers[2], b""], pa.binary()),
+        "shard": pa.array([table.column("shard")[0].as_py()] * n, pa.int64()),
+        "learned": pa.array([*[pack(coded[p]) for p in places], totals], pa.binary()),
+        "counted": pa.array([*[pack(counted[p[d > 0]]) for p, d in zip(places, own)], b""], pa.binary()),
     })
 
 
@@ -186,21 +231,36 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(k, 1).to_pylist()[0]
 
 
-def _read(replies: list[dict], kind: int, keys: np.ndarray, shards: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Answers to a block's n-grams of one kind, and each place's n-gram among them."""
+@dataclass
+class Answers:
+    """What shards answered to a block's n-grams of one kind, by place; `counted` is right in deleted texts only."""
+
+    learned: np.ndarray
+    several: np.ndarray
+    counted: np.ndarray | None
+
+
+def _read(replies: list[dict], kind: int, keys: np.ndarray, use: np.ndarray, shards: int) -> Answers:
     distinct, place = np.unique(keys, return_inverse=True)
     _, edges = shard_edges(distinct, shards)
-    own = sorted((r for r in replies if r["kind"] == kind), key=lambda r: r["shard"])
+    own = sorted((r for r in replies or [] if r["kind"] == kind), key=lambda r: r["shard"])
     if len(own) + 1 != len(edges):
         raise RuntimeError(f"{len(own)} of {len(edges) - 1} shards answered")
-    sizes = np.diff(edges)
-    join = lambda c: np.concatenate([unpack(r[c], n) for r, n in zip(own, sizes)]) if own else np.zeros(0, np.int64)
-    return {c: join(c) for c in ("counted", "learned", "several")}, place
+    parts = [unpack(r["learned"], b - a) for r, a, b in zip(own, edges[:-1], edges[1:])]
+    learned, several = without_recurrence(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+    counted = None
+    if own and "counted" in own[0]:
+        late = np.bincount(place[use == DELETED], minlength=len(distinct)) > 0
+        counted = np.zeros(len(distinct), np.int64)
+        parts = [unpack(r["counted"], int(late[a:b].sum())) for r, a, b in zip(own, edges[:-1], edges[1:])]
+        counted[late] = np.concatenate(parts)
+        counted = counted[place]
+    return Answers(learned[place], several[place], counted)
 
 
 def _asked_trigrams(block: Block, several: np.ndarray) -> np.ndarray:
     """Places whose trigram may occur elsewhere: both bigrams inside do."""
-    asked = (several >= 2) & (block.after(several, 0) >= 2)
+    asked = several & block.after(several, 0)
     asked[block.first] = False
     return asked
 
@@ -289,7 +349,7 @@ def score_texts(docs: DataFrame, *, learnable: Column, deleted: Column, held_out
     spark = docs.sparkSession
     use = F.when(F.coalesce(learnable, F.lit(False)), F.when(F.coalesce(deleted, F.lit(False)), DELETED).otherwise(COUNTED)).otherwise(SCORED)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", use.alias("use"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    with rows_per_batch(spark, 1000):
+    with rows_per_batch(spark, 2000):
         blocks = cut(make_blocks(own))
     n_tokens, n_learned = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_learned"), F.lit(0))).first()
     texts = {r["use"]: r["n"] for r in own.groupBy("use").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -306,8 +366,7 @@ def score_texts(docs: DataFrame, *, learnable: Column, deleted: Column, held_out
         for row in _block_rows(batches):
             block = Block(row["vocabulary"], row["tokens"], row["lengths"], row["uses"])
             bigrams = block.bigrams()
-            found, place = _read(row["replies"], 2, bigrams, shards)
-            asked = _asked_trigrams(block, found["several"][place])
+            asked = _asked_trigrams(block, _read(row["replies"], 2, bigrams, block.use, shards).several)
             rows, _ = _asked(3, row["block"], block.trigrams(bigrams)[asked], block.use[asked], shards)
             yield _requests(list(rows))
 
@@ -315,17 +374,18 @@ def score_texts(docs: DataFrame, *, learnable: Column, deleted: Column, held_out
         for row in _block_rows(batches):
             block = Block(row["vocabulary"], row["tokens"], row["lengths"], row["uses"])
             bigrams = block.bigrams()
-            ones, place1 = _read(row["replies"], 1, block.words[block.tokens], shards)
-            twos, place2 = _read(row["replies"], 2, bigrams, shards)
-            asked = _asked_trigrams(block, twos["several"][place2])
-            threes, place3 = _read(row["replies"], 3, block.trigrams(bigrams)[asked], shards)
+            one = _read(row["replies"], 1, block.words[block.tokens], block.use, shards)
+            two = _read(row["replies"], 2, bigrams, block.use, shards)
+            asked = _asked_trigrams(block, two.several)
+            three = _read(row["replies"], 3, block.trigrams(bigrams)[asked], block.use[asked], shards)
             out = {}
             for name, alone in (("learned", block.use != SCORED), ("counted", block.use == COUNTED)):
-                three = alone.astype(np.int64)
-                three[asked] = threes[name][place3]
-                two = twos[name][place2]
-                three[block.first] = two[block.first]
-                out[name] = [ones[name][place1], two, three]
+                long = alone.astype(np.int64)  # a trigram that was not asked for occurs here alone
+                if asked.any():
+                    long[asked] = getattr(three, name)
+                short = getattr(two, name)
+                long[block.first] = short[block.first]
+                out[name] = [getattr(one, name), short, long]
             late = block.use == DELETED
             columns = [
                 pa.array([row["block"]]), pa.array([row["doc_ids"]], pa.list_(pa.int64())), pa.array([row["held"]], pa.list_(pa.bool_())),
@@ -334,21 +394,21 @@ def score_texts(docs: DataFrame, *, learnable: Column, deleted: Column, held_out
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in COUNTS.split(", ")])
 
-    def by_block(*replies: DataFrame) -> DataFrame:
-        every = replies[0]
-        for more in replies[1:]:
-            every = every.unionByName(more)
-        inner = F.struct("kind", "shard", "counted", "learned", "several")
-        return blocks.join(every.where("block >= 0").groupBy("block").agg(F.collect_list(inner).alias("replies")), "block", "left")
+    tokens = ["block", "lengths", "uses", "vocabulary", "tokens"]
+
+    def by_block(blocks: DataFrame, replies: DataFrame, *names: str) -> DataFrame:
+        inner = F.struct("kind", "shard", *names)
+        return blocks.join(replies.where("block >= 0").groupBy("block").agg(F.collect_list(inner).alias("replies")), "block", "left")
 
-    with rows_per_batch(spark, 4):
-        short = cut(exchange(blocks.mapInArrow(ask_short, REQUEST)))
-        joined = by_block(short.where("kind = 2"))
+    with rows_per_batch(spark, 2):
+        short = cut(exchange(blocks.select(*tokens).mapInArrow(ask_short, REQUEST)))
+        joined = by_block(blocks.select(*tokens), short.where("kind = 2"), "learned")
         long = cut(exchange(joined.mapInArrow(ask_long, REQUEST)))
-        counts = cut(by_block(short, long).mapInArrow(gather, COUNTS))
+        joined = by_block(blocks.select(*tokens, "doc_ids", "held"), short.unionByName(long), "learned", "counted")
+        counts = cut(joined.mapInArrow(gather, COUNTS))
     sums = np.zeros(4, np.int64)
-    for r in short.where("block < 0 and kind = 1").select("counted").toLocalIterator():  # one line a shard
-        sums += np.frombuffer(r["counted"], "<i8")
+    for r in short.where("block < 0 and kind = 1").select("learned").toLocalIterator():  # one line a shard
+        sums += np.frombuffer(r["learned"], "<i8")
     rest = Totals(int(sums[0]), int(sums[2]), texts.get(COUNTED, 0))
     learned = Totals(int(sums[1]), int(sums[3]), texts.get(COUNTED, 0) + texts.get(DELETED, 0))
 
@@ -359,7 +419,7 @@ def score_texts(docs: DataFrame, *, learnable: Column, deleted: Column, held_out
             late = lengths[uses == DELETED]
             n = int(late.sum())
             if n:
-                part = Block(b"", np.zeros(n, "<i4").tobytes(), late.tobytes(), uses[uses == DELETED].tobytes())
+                part = Block(b"", pack_numbers(np.zeros(n, np.int64)), late.tobytes(), uses[uses == DELETED].tobytes())
                 found = held_out_cells(*likelihoods(part, *[unpack(d, n) for d in row["counted"]], rest))
                 for key, values in found.items():
                     kept = total.setdefault(key, [0.0, 0.0, 0.0])
@@ -371,7 +431,7 @@ def score_texts(docs: DataFrame, *, learnable: Column, deleted: Column, held_out
             [*[pa.array(list(k), pa.int64()) for k in keys], *[pa.array(list(s), pa.float64()) for s in sums]], names=["bucket", "c3", "c2", "n", "r3", "r2"]
         )
 
-    with rows_per_batch(spark, 4):
+    with rows_per_batch(spark, 2):
         held = counts.select("lengths", "uses", "counted").mapInArrow(cells, "bucket long, c3 long, c2 long, n double, r3 double, r2 double")
         table = held.groupBy("bucket", "c3", "c2").agg(F.sum("n").alias("n"), F.sum("r3").alias("r3"), F.sum("r2").alias("r2")).toPandas()
     table = table.sort_values(["bucket", "c3", "c2"])
@@ -382,7 +442,7 @@ def score_texts(docs: DataFrame, *, learnable: Column, deleted: Column, held_out
         for row in _block_rows(batches):
             lengths = np.frombuffer(row["lengths"], "<i8")
             n = int(lengths.sum())
-            block = Block(b"", np.zeros(n, "<i4").tobytes(), row["lengths"], row["uses"])
+            block = Block(b"", pack_numbers(np.zeros(n, np.int64)), row["lengths"], row["uses"])
             one, two, three = (unpack(d, n) for d in row["learned"])
             found = likelihoods(block, one, two, three, learned)
             starts = np.cumsum(lengths) - lengths
@@ -395,7 +455,7 @@ def score_texts(docs: DataFrame, *, learnable: Column, deleted: Column, held_out
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    with rows_per_batch(spark, 4):
+    with rows_per_batch(spark, 2):
         return cut(counts.drop("counted").mapInArrow(score, schema))
 
 

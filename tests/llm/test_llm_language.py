@@ -247,7 +247,7 @@ def same_scores(got, want):
     assert np.allclose([r[6] for r in got], [r[6] for r in want], rtol=2e-3)
 
 
-@pytest.mark.parametrize(("block", "shard"), [(4 << 20, 1 << 21), (3000, 700)])
+@pytest.mark.parametrize(("block", "shard"), [(8 << 20, 1 << 21), (3000, 700)])
 def test_scores_equal_brute_force_on_odd_rows(documents, odd_rows, block, shard, monkeypatch):
     """One block and shard, and many of both."""
     monkeypatch.setattr(lmscore, "BLOCK_BYTES", block)
