@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.functions import numbers
 from fieldtally.operators import reshape
+from fieldtally.operators.lineage import cut
 
 SITE_VISIT = ("refuge", "occasion", "gear")
 
@@ -78,3 +80,41 @@ def diversity_by_month(
     if refuges is not None:
         wide = wide.join(refuges, "refuge", "left")
     return wide.where(F.col("m_5") != 0)
+
+
+def evenness(totals: DataFrame, *, values_from: str = "no_fish") -> DataFrame:
+    """Hill numbers of each site visit's catch and their ratios to richness and to each other.
+
+    `hill_1` is the exponential of Shannon's index, `hill_2` the inverse of Simpson's concentration. Visits without catch are left out.
+    """
+    v = F.col(values_from).cast("double")
+    sums = totals.where(v > 0).groupBy(*SITE_VISIT, "species").agg(F.sum(v).alias("_v")).groupBy(*SITE_VISIT).agg(
+        F.count(F.lit(1)).alias("richness"), F.sum("_v").alias("_t"), F.sum(F.col("_v") * F.ln("_v")).alias("_vlogv"), F.sum(F.col("_v") * F.col("_v")).alias("_vv")
+    )
+    first = F.exp(F.ln("_t") - F.col("_vlogv") / F.col("_t"))
+    second = F.col("_t") * F.col("_t") / F.col("_vv")
+    return sums.select(*SITE_VISIT, "richness", first.alias("hill_1"), second.alias("hill_2")).withColumns(
+        {
+            "shannon_evenness": F.col("hill_1") / F.col("richness"),
+            "simpson_evenness": F.col("hill_2") / F.col("richness"),
+            "hill_ratio": F.col("hill_2") / F.col("hill_1"),
+        }
+    )
+
+
+def relative_importance(totals: DataFrame, *, by: Sequence[str], visit: Sequence[str], column: str = "species") -> DataFrame:
+    """Index of relative importance: (share of numbers + share of weight) x share of visits, in percent, and its share within `by`.
+
+    A group without numbers or weight has NULL for that share and the index; a visit counts as soon as it has a row.
+    """
+    cells = totals.groupBy(*by, *visit, column).agg(F.sum("no_fish").cast("double").alias("_n"), F.sum("total_weight").cast("double").alias("_w"))
+    cells = cut(cells)
+    parts = cells.groupBy(*by, column).agg(F.sum("_n").alias("_n"), F.sum("_w").alias("_w"), F.count(F.when(F.col("_n") > 0, 1)).alias("_v"))
+    whole = parts.groupBy(*by).agg(F.sum("_n").alias("_nn"), F.sum("_w").alias("_ww"))
+    visits = cells.select(*by, *visit).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("_vv"))
+    share = lambda a, b: F.try_divide(F.lit(100.0) * F.col(a), F.col(b))
+    scored = parts.join(whole, list(by)).join(visits, list(by)).select(
+        *by, column, share("_n", "_nn").alias("number_pct"), share("_w", "_ww").alias("weight_pct"), share("_v", "_vv").alias("frequency_pct")
+    )
+    scored = cut(scored.withColumn("iri", (F.col("number_pct") + F.col("weight_pct")) * F.col("frequency_pct")))
+    return scored.join(scored.groupBy(*by).agg(F.sum("iri").alias("_iri")), list(by)).withColumn("iri_pct", share("iri", "_iri")).drop("_iri")

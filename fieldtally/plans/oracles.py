@@ -689,6 +689,70 @@ CTES["subset_aic"] = "SELECT model, n_terms, n * ln(rss / n) + n * (1 + ln(2 * p
 ORACLES["model_weights"] = f"""SELECT model, CAST(n_terms AS INTEGER) AS n_terms, {R('aic', 'aic')}, {R('exp(-0.5 * (aic - lo)) / sum(exp(-0.5 * (aic - lo))) OVER ()', 'weight')}
   FROM subset_aic, (SELECT min(aic) AS lo FROM subset_aic)"""
 
+CTES["visit_covariates"] = """SELECT DISTINCT refuge, occasion, season, month, year_s, water_level, water_temp, visibility, dry_area, dry_depth, category_name
+  FROM occasion_covariates LEFT JOIN refuge_covariates USING (refuge)"""
+CTES["hellinger"] = "SELECT refuge, occasion, species, sqrt(x / sum(x) OVER (PARTITION BY refuge, occasion)) AS h FROM ca_cells"
+
+
+def _groups_sql(group: str) -> str:
+    """Sums of squares by distances between all pairs of visits of a group, which need no centroid."""
+    return f"""SELECT '{group}' AS grouping, n, k, {R('total', 'ss_total')}, {R('within', 'ss_within')}, {R('((total - within) / (k - 1)) / (within / (n - k))', 'pseudo_f')}, {R('(total - within) / total', 'r_squared')}
+  FROM (SELECT sum(CASE WHEN a.g = b.g THEN d / a.m END) AS within, sum(d) / any_value(b.n) AS total FROM
+    (SELECT v, g, count(*) OVER (PARTITION BY g) AS m FROM (SELECT DISTINCT refuge || occasion AS v, {group} AS g FROM hellinger JOIN visit_covariates USING (refuge, occasion) WHERE {group} IS NOT NULL)) a
+    JOIN (SELECT p.refuge || p.occasion AS v1, q.refuge || q.occasion AS v2, 2 - 2 * sum(p.h * q.h) AS d FROM hellinger p JOIN hellinger q ON p.species = q.species AND p.refuge || p.occasion < q.refuge || q.occasion GROUP BY ALL
+      UNION ALL SELECT v1, v2, 2 FROM (SELECT a.v AS v1, b.v AS v2 FROM (SELECT DISTINCT refuge || occasion AS v FROM hellinger) a JOIN (SELECT DISTINCT refuge || occasion AS v FROM hellinger) b ON a.v < b.v)
+        ANTI JOIN (SELECT DISTINCT p.refuge || p.occasion AS v1, q.refuge || q.occasion AS v2 FROM hellinger p JOIN hellinger q ON p.species = q.species) USING (v1, v2)) ON a.v = v1
+    JOIN (SELECT v, g, count(*) OVER () AS n FROM (SELECT DISTINCT refuge || occasion AS v, {group} AS g FROM hellinger JOIN visit_covariates USING (refuge, occasion) WHERE {group} IS NOT NULL)) b ON b.v = v2),
+   (SELECT count(DISTINCT refuge || occasion) AS n, count(DISTINCT {group}) AS k FROM hellinger JOIN visit_covariates USING (refuge, occasion) WHERE {group} IS NOT NULL)"""
+
+
+ORACLES["composition_groups"] = _groups_sql("season") + " UNION ALL " + _groups_sql("category_name")
+CTES["cca_cells"] = "SELECT refuge, occasion, species, x, water_level AS a, dry_area AS b FROM ca_cells JOIN visit_covariates USING (refuge, occasion) WHERE water_level IS NOT NULL AND dry_area IS NOT NULL"
+CTES["cca_centred"] = """SELECT species, x / t AS p, a - ma AS a, b - mb AS b FROM cca_cells,
+  (SELECT sum(x) AS t, sum(x * a) / sum(x) AS ma, sum(x * b) / sum(x) AS mb FROM cca_cells)"""
+CTES["cca_moments"] = """SELECT * FROM (SELECT sum(p * a * a) AS gaa, sum(p * a * b) AS gab, sum(p * b * b) AS gbb FROM cca_centred),
+  (SELECT sum(ca * ca / c) AS maa, sum(ca * cb / c) AS mab, sum(cb * cb / c) AS mbb FROM (SELECT sum(p) AS c, sum(p * a) AS ca, sum(p * b) AS cb FROM cca_centred GROUP BY species))"""
+CTES["cca_fit"] = """SELECT (gbb * maa - 2 * gab * mab + gaa * mbb) / (gaa * gbb - gab * gab) AS t, (maa * mbb - mab * mab) / (gaa * gbb - gab * gab) AS d FROM cca_moments"""
+CTES["cca_total"] = """SELECT sum(x * x / (r * c)) - 1 AS total FROM (SELECT x, sum(x) OVER (PARTITION BY refuge, occasion) AS r, sum(x) OVER (PARTITION BY species) AS c FROM cca_cells)"""
+ORACLES["cca_inertia"] = f"SELECT {R('total', 'total')}, {R('t', 'constrained')}, {R('total - t', 'residual')}, {R('t / total', 'share')} FROM cca_fit, cca_total"
+ORACLES["cca_axes"] = " UNION ALL ".join(
+    f"SELECT CAST({k} AS INTEGER) AS axis, {R(f'(t {sign} sqrt(t * t - 4 * d)) / 2', 'eigenvalue')}, {R(f'(t {sign} sqrt(t * t - 4 * d)) / 2 / t', 'share')} FROM cca_fit"
+    for k, sign in ((1, "+"), (2, "-"))
+)
+CTES["rda_sites"] = """SELECT a - avg(a) OVER () AS a, b - avg(b) OVER () AS b, avg(a) OVER () AS ma, avg(b) OVER () AS mb FROM
+  (SELECT DISTINCT refuge, occasion, water_level AS a, dry_area AS b FROM hellinger JOIN visit_covariates USING (refuge, occasion) WHERE water_level IS NOT NULL AND dry_area IS NOT NULL)"""
+CTES["rda_cells"] = """SELECT species, h, water_level - ma AS a, dry_area - mb AS b FROM hellinger JOIN visit_covariates USING (refuge, occasion), (SELECT any_value(ma) AS ma, any_value(mb) AS mb FROM rda_sites)
+  WHERE water_level IS NOT NULL AND dry_area IS NOT NULL"""
+CTES["rda_fit"] = """SELECT n, maa / gaa / ss AS ra, mbb / gbb / ss AS rb, (gbb * maa - 2 * gab * mab + gaa * mbb) / (gaa * gbb - gab * gab) / ss AS rab FROM
+  (SELECT count(*) AS n, sum(a * a) AS gaa, sum(a * b) AS gab, sum(b * b) AS gbb FROM rda_sites),
+  (SELECT sum(ca * ca) AS maa, sum(ca * cb) AS mab, sum(cb * cb) AS mbb FROM (SELECT sum(h * a) AS ca, sum(h * b) AS cb FROM rda_cells GROUP BY species)),
+  (SELECT sum(hh - s * s / (SELECT count(*) FROM rda_sites)) AS ss FROM (SELECT sum(h * h) AS hh, sum(h) AS s FROM rda_cells GROUP BY species))"""
+CTES["rda_adjusted"] = """SELECT *, 1 - (1 - ra) * (n - 1) / (n - 2) AS aa, 1 - (1 - rb) * (n - 1) / (n - 2) AS ab, 1 - (1 - rab) * (n - 1) / (n - 3) AS aab FROM rda_fit"""
+ORACLES["variation_pair"] = " UNION ALL ".join(
+    f"SELECT '{part}' AS part, '{kind}' AS kind, CAST({terms} AS INTEGER) AS n_terms, {R(f'CAST({r2} AS DOUBLE)', 'r_squared')}, {R(adjusted, 'adj_r_squared')} FROM rda_adjusted"
+    for part, kind, terms, r2, adjusted in (
+        ("visit", "union", "1", "ra", "aa"), ("site", "union", "1", "rb", "ab"), ("visit + site", "union", "2", "rab", "aab"),
+        ("visit", "fraction", "NULL", "NULL", "aab - ab"), ("site", "fraction", "NULL", "NULL", "aab - aa"),
+        ("visit + site", "fraction", "NULL", "NULL", "aa + ab - aab"), ("residual", "fraction", "NULL", "NULL", "1 - aab"),
+    )
+)
+CTES["judged"] = """SELECT refuge, species, coalesce(x, 0) AS x FROM (SELECT DISTINCT refuge FROM ca_cells) r CROSS JOIN (SELECT DISTINCT species FROM ca_cells) s
+  LEFT JOIN (SELECT refuge, species, round(sum(x), 9) AS x FROM ca_cells GROUP BY ALL) USING (refuge, species)"""
+CTES["judge_ranks"] = """SELECT refuge, species, rank() OVER (PARTITION BY species ORDER BY x) + (count(*) OVER (PARTITION BY species, x) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY species, x) AS t FROM judged"""
+CTES["agreement"] = """SELECT n, m, 12 * s / (m * m * (pow(n, 3) - n) - m * ties) AS w FROM
+  (SELECT count(DISTINCT refuge) AS n, count(DISTINCT species) AS m, CAST(sum(t * t - 1) AS DOUBLE) AS ties FROM judge_ranks),
+  (SELECT var_pop(s) * count(*) AS s FROM (SELECT sum(rk) AS s FROM judge_ranks GROUP BY refuge))"""
+ORACLES["concordance"] = f"SELECT n AS n_objects, m AS n_judges, {R('w', 'w')}, {R('m * (n - 1) * w', 'chi_squared')}, {R('(m - 1) * w / (1 - w)', 'f_statistic')} FROM agreement"
+CTES["hill"] = """SELECT refuge, occasion, gear, count(*) AS richness, exp(-sum(p * ln(p))) AS hill_1, 1 / sum(p * p) AS hill_2 FROM
+  (SELECT refuge, occasion, gear, no_fish / sum(no_fish) OVER (PARTITION BY refuge, occasion, gear) AS p FROM std_totals WHERE no_fish > 0) GROUP BY ALL"""
+ORACLES["evenness"] = f"""SELECT refuge, occasion, gear, richness, {R('hill_1', 'hill_1')}, {R('hill_2', 'hill_2')}, {R('hill_1 / richness', 'shannon_evenness')},
+  {R('hill_2 / richness', 'simpson_evenness')}, {R('hill_2 / hill_1', 'hill_ratio')} FROM hill"""
+CTES["season_totals"] = "SELECT season, refuge || occasion AS v, species, no_fish, total_weight FROM mean_totals JOIN (SELECT DISTINCT refuge, occasion, season FROM occasion_covariates) USING (refuge, occasion) WHERE gear = 'GN'"
+CTES["importance"] = """SELECT season, species, 100 * sum(no_fish) / any_value(nn) AS np, 100 * sum(total_weight) / any_value(ww) AS wp, 100.0 * count(*) FILTER (no_fish > 0) / any_value(vv) AS fp FROM season_totals
+  JOIN (SELECT season, sum(no_fish) AS nn, sum(total_weight) AS ww, count(DISTINCT v) AS vv FROM season_totals GROUP BY season) USING (season) GROUP BY season, species"""
+ORACLES["relative_importance"] = f"""SELECT season, species, {R('np', 'number_pct')}, {R('wp', 'weight_pct')}, {R('fp', 'frequency_pct')}, {R('(np + wp) * fp', 'iri')},
+  {R('100 * (np + wp) * fp / sum((np + wp) * fp) OVER (PARTITION BY season)', 'iri_pct')} FROM importance"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {name: with_ctes(sql) for name, sql in ORACLES.items()}

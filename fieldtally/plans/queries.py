@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldtally.adapters import draws_from_events, read_table, survey_from_tables
 from fieldtally.functions import calendar, labels, numbers, text
 from fieldtally.operators import (
-    change, cleaning, dims, diversity, draws, effort, explore, models, ordination, quality, reshape, stats, turnover,
+    change, cleaning, composition, dims, diversity, draws, effort, explore, models, ordination, quality, reshape, stats, turnover,
 )
 from fieldtally.operators.lineage import cut
 from fieldtally.operators.ordered import group_quantiles
@@ -659,6 +659,119 @@ def _(spark, d):
     return stats.group_ellipses(frame, "diversity_alpha", "water_level", by=["season", "category_name"])
 
 
+# --- composition ----------------------------------------------------------------
+
+
+VISIT = ["refuge", "occasion"]
+
+
+def _visit_covariates(spark, d):
+    s = survey_of_tables(spark, d)
+    return s.occasion_covariates.join(s.refuge_covariates, "refuge", "left")
+
+
+def _numeric(*names):
+    return {name: F.col(name).cast("double") for name in names}
+
+
+def _both_groupings(spark, d, run):
+    """One line for the grouping by season, one for the grouping by site category."""
+    cells, covariates = _gear_cells(spark, d), _visit_covariates(spark, d)
+    parts = [
+        run(cells, covariates, rows=VISIT, column="species", value="n", group=group).withColumn("grouping", F.lit(group))
+        for group in ("season", "category_name")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@register("composition_groups")
+def _(spark, d):
+    return _both_groupings(spark, d, composition.composition_groups)
+
+
+@register("composition_test")
+def _(spark, d):
+    return _both_groupings(spark, d, composition.composition_test)
+
+
+def _constrained(spark, d, *, full):
+    covariates = _visit_covariates(spark, d)
+    design = _numeric("water_level", "dry_area")
+    if full:
+        categories = reshape.level_list(covariates, "category_name", limit=50)
+        dummies = models.design_columns({"category_name": categories}, [])
+        design = {**_numeric("water_level", "water_temp", "visibility", "dry_area", "dry_depth"), **{k: v for k, v in dummies.items() if k != "(Intercept)"}}
+    return composition.constrained_ordination(_gear_cells(spark, d), covariates, rows=VISIT, column="species", value="n", design=design)
+
+
+@register("cca_inertia")
+def _(spark, d):
+    return _constrained(spark, d, full=False).inertia
+
+
+@register("cca_axes")
+def _(spark, d):
+    return _constrained(spark, d, full=False).axes
+
+
+@register("cca_species")
+def _(spark, d):
+    return _constrained(spark, d, full=True).variables
+
+
+@register("cca_sites")
+def _(spark, d):
+    return _constrained(spark, d, full=True).scores
+
+
+@register("cca_predictors")
+def _(spark, d):
+    return _constrained(spark, d, full=True).predictors
+
+
+@register("variation_pair")
+def _(spark, d):
+    groups = {"visit": _numeric("water_level"), "site": _numeric("dry_area")}
+    return composition.variation_partition(_gear_cells(spark, d), _visit_covariates(spark, d), rows=VISIT, column="species", value="n", groups=groups)
+
+
+@register("variation_partition")
+def _(spark, d):
+    groups = {
+        "site": _numeric("dry_area", "dry_depth"),
+        "visit": _numeric("water_level", "water_temp", "visibility", "aquatic_plant_area", "brush_park"),
+        "time": {**_numeric("year_s"), "wet": F.when(F.col("season") == "wet", 1.0).otherwise(0.0)},
+    }
+    return composition.variation_partition(_gear_cells(spark, d), _visit_covariates(spark, d), rows=VISIT, column="species", value="n", groups=groups)
+
+
+def _site_cells(spark, d):
+    return _gear_cells(spark, d).groupBy("refuge", "species").agg(F.round(F.sum("n"), 9).alias("n"))
+
+
+@register("concordance")
+def _(spark, d):
+    return composition.concordance(_site_cells(spark, d), objects=["refuge"], judge="species", value="n")
+
+
+@register("concordance_test")
+def _(spark, d):
+    return composition.concordance_test(_site_cells(spark, d), objects=["refuge"], judge="species", value="n")
+
+
+@register("evenness")
+def _(spark, d):
+    return diversity.evenness(effort.effort_totals(survey_of_tables(spark, d).catch_info, CFG))
+
+
+@register("relative_importance")
+def _(spark, d):
+    s = survey_of_tables(spark, d)
+    totals = effort.mean_scaled_totals(s.catch_info, CFG).where(F.col("gear") == CFG.primary_gear)
+    seasons = s.occasion_covariates.select("refuge", "occasion", "season").distinct()
+    return diversity.relative_importance(totals.join(seasons, VISIT), by=["season"], visit=VISIT)
+
+
 # --- draws ----------------------------------------------------------------------
 
 
