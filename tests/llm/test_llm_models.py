@@ -145,6 +145,31 @@ def test_main_text_of_broken_pages():
     assert htmltext.extract('<p title="never closed>text</p><p>more</p>').endswith("more")
 
 
+SENTENCE = "A sentence of some length, with commas, that goes on and on for a while in the article."
+LONG = "".join(f"<p>{SENTENCE} {k}</p>" for k in range(15))
+WRITTEN = [f"{SENTENCE} {k}" for k in range(15)]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><h1>T</h1><p>lead</p><div>{LONG}</div><section><h2>S</h2><p>more</p></section></article>", ["T", "lead", *WRITTEN, "S", "more"]),
+        (f"<article><header class='entry-header'><h1>Title</h1></header>{LONG}</article>", ["Title", *WRITTEN]),
+        (f"<article><h1>T</h1>{LONG}<ul><li><a href=x>Ref one</a><li><a href=y>Ref two</a></ul></article>", ["T", *WRITTEN, "Ref one", "Ref two"]),
+        (f"<article><h1>T</h1><div class='legal form search'>{LONG}</div><div class=comments><p>No.</p></div></article>", ["T", *WRITTEN]),
+        (f"<article>{LONG}<div class=share><a href=x>Tell a friend</a></div><aside>Side</aside></article><div class=legal>Small print</div>", WRITTEN),
+        (f"<main><h1>T</h1><article>{LONG}</article></main><div>Elsewhere</div>", ["T", *WRITTEN]),
+        (f"<main><article>{LONG}</article><article><p>Another teaser, not part of it.</p></article></main>", WRITTEN),
+        (f"<h1>T</h1><div><div class='post-header'>Sub</div>{LONG}</div><ul><li><a href=x>Home</a><li><a href=y>News</a></ul>", ["T", "Sub", *WRITTEN]),
+        ("<div>" * 2100 + "<nav><p>menu</p></nav><p>deep, text</p>" + "</div>" * 2100 + "<p>after</p>", ["deep, text", "after"]),
+        (f"<article><p>{'word, ' * 200_000}</p></article>", [("word, " * 200_000).strip()]),
+    ],
+)
+def test_whole_articles_are_kept(page, text):
+    """Nested bodies, titles in headers, link lists, class names of other use, deep and very long pages."""
+    assert htmltext.extract(f"<html><body><nav><a href=x>Menu</a></nav>{page}<footer>Foot</footer></body></html>") == "\n".join(text)
+
+
 def test_pages_table(spark):
     rows = [(1, "u", "<p>x y</p>"), (1, "u", "<p>x y</p>"), (2, None, None), (None, "v", "")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
