@@ -1,9 +1,10 @@
 """Repeated passages from a sparse suffix array.
 
 Only suffixes at minimiser positions are retained: the word where the smallest
-shingle hash of a window of `least` words lies. Suffixes are sorted twice over
-all documents, by what follows and by what precedes; neighbours (and the lowest
-document of each run) are compared and their matches extended left and right.
+shingle hash of a window of `least` words lies. Those with equal first words (a run) are sorted twice, by
+what follows and by what precedes, and neighbours are compared. Suffixes that share so many words to the right, and
+so many to the left, lie in one interval of either order; the smallest document in both intervals tells whether a
+window repeats, and extending it to the left word by word, while it gives way on the right, finds every window.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtally.llm.batches import Words, pieces, sliding_min
+from fieldtally.llm.batches import Words, mix, pieces, sliding_min
 from fieldtally.llm.repeats import window_anchors, with_shared_anchors
 from fieldtally.operators.lineage import cut
 
 LEAST_WORDS = 50
 GRAM = 8
+LONGEST_RUN = 8192  # suffixes of one run that one task may sort
+TOGETHER = 20_000  # suffixes of several runs that are sorted at a time
 
 
 def _suffixes(held: DataFrame, least: int, gram: int) -> DataFrame:
@@ -58,97 +61,152 @@ def _suffixes(held: DataFrame, least: int, gram: int) -> DataFrame:
     return held.mapInArrow(run, "doc_id long, pos long, head binary, right binary, left binary")
 
 
-def _common(a: list[bytes], b: list[bytes]) -> int:
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
-def _neighbour_matches(order: str, least: int):
-    """Compare neighbours of one sorted partition; also hands on the lowest document of its first and last run."""
+def word_matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of each value, zeros behind them, and the number of words."""
+    words = Words.of(column.cast(pa.large_binary()).cast(pa.large_string()))
+    out, owner = np.zeros((len(column), width), np.uint64), words.owners()
+    out[owner, np.arange(len(owner)) - words.first[owner]] = words.hashes()
+    return out, words.counts
+
+
+class Run:
+    """Suffixes of one or more runs of equal heads: words by hash, sorted both ways, with the neighbours' common lengths."""
+
+    def __init__(self, head: list[bytes], right: pa.Array, left: pa.Array, least: int, reach: int):
+        number: dict[bytes, int] = {}
+        self.run = np.array([number.setdefault(h, len(number)) for h in head], np.int64)
+        self.right, self.n_right = word_matrix(right, least)
+        self.left, self.n_left = word_matrix(left, reach)
+        self.right_order, self.right_common = self._sorted(self.right, self.n_right)
+        self.left_order, self.left_common = self._sorted(self.left, self.n_left)
+
+    def _sorted(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order of the suffixes within their runs, and the words that each shares with the one before (-1: another run)."""
+        keys = np.ascontiguousarray(np.column_stack([self.run.astype(np.uint64), words]).astype(">u8"))
+        order = np.argsort(keys.view(f"V{keys.shape[1] * 8}").reshape(-1), kind="stable") if len(keys) else np.zeros(0, np.int64)
+        ranked, limit = words[order], counts[order]
+        common = np.full(len(order), -1, np.int64)
+        if len(order) > 1:
+            unlike = ranked[1:] != ranked[:-1]
+            first = np.where(unlike.any(axis=1), unlike.argmax(axis=1), words.shape[1])
+            shared = np.minimum(first, np.minimum(limit[1:], limit[:-1]))
+            common[1:] = np.where(self.run[order[1:]] == self.run[order[:-1]], shared, -1)
+        return order, common
+
+    @staticmethod
+    def _intervals(order: np.ndarray, common: np.ndarray, words: int) -> np.ndarray:
+        """Interval of each suffix: those that share at least so many words."""
+        out = np.empty(len(order), np.int64)
+        out[order] = np.cumsum(common < words)
+        return out
+
+    def matches(self, docs: np.ndarray, pos: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows with a smaller document that holds a window around the suffix too: row, start, words, smallest such document.
+
+        A window reaches some words to the left of the suffix, the rest to the right. It repeats in the suffixes that lie in
+        the same interval of both orders; extending by a word to the left takes one from the right. All windows of a suffix
+        contain it, so the matched ones form one span.
+        """
+        n = len(docs)
+        lowest = np.full(n, np.iinfo(np.int64).max)
+        most, fewest = np.full(n, -1), np.full(n, least)
+        for before in range(least - gram + 1):
+            able = np.flatnonzero((self.n_left >= before) & (self.n_right >= least - before))
+            if len(able) < 2:
+                continue
+            interval = self._intervals(self.right_order, self.right_common, least - before) * (n + 1) + self._intervals(self.left_order, self.left_common, before)
+            order = able[np.argsort(interval[able], kind="stable")]
+            begins = np.flatnonzero(np.concatenate([[True], np.diff(interval[order]) != 0]))
+            smallest = np.repeat(np.minimum.reduceat(docs[order], begins), np.diff(np.append(begins, len(order))))
+            found = smallest < docs[order]
+            rows = order[found]
+            lowest[rows] = np.minimum(lowest[rows], smallest[found])
+            most[rows] = np.maximum(most[rows], before)
+            fewest[rows] = np.minimum(fewest[rows], before)
+        rows = np.flatnonzero(most >= 0)
+        return rows, pos[rows] - most[rows], least + most[rows] - fewest[rows], lowest[rows]
+
+
+SPANS = "doc_id long, start long, n_words long, earlier_id long"
+COLUMNS = ["doc_id", "pos", "head", "right", "left"]
+
+
+def _sorted_runs(suffixes: DataFrame, least: int, gram: int, rows: int) -> DataFrame:
+    """Spans of runs of moderate size: whole runs are gathered to about `rows` suffixes and sorted together."""
+
+    def spans(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        docs, pos = table.column("doc_id").to_numpy(), table.column("pos").to_numpy()
+        one = lambda c: table.column(c).chunk(0)
+        run = Run(table.column("head").to_pylist(), one("right"), one("left"), least, least - gram)
+        held, start, words, earlier = run.matches(docs, pos, least, gram)
+        return pa.RecordBatch.from_arrays([pa.array(docs[held]), pa.array(start), pa.array(words), pa.array(earlier)], names=[f.split()[0] for f in SPANS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        found: set[tuple] = set()
-        edges: list[tuple] = []
-
-        def compare(x: tuple, y: tuple) -> None:
-            if x[0] == y[0]:
-                return
-            left = _common(x[3], y[3])
-            words = left + (len(x[2]) if x[5] == y[5] else _common(x[2], y[2]))
-            if words >= least:
-                later, earlier = (x, y) if x[0] > y[0] else (y, x)
-                found.add((later[0], later[1] - left, words, earlier[0]))
-
-        def close(edge: bool) -> None:
-            """One run of equal heads: each row against its neighbour and the lowest document before and after it."""
-            for rows in (held, held[::-1]):
-                lowest = previous = None
-                for row in rows:
-                    if previous:
-                        compare(previous, row)
-                        if lowest is not previous:
-                            compare(lowest, row)
-                    previous = row
-                    lowest = row if lowest is None or row[0] < lowest[0] else lowest
-            if held and edge:
-                edges.append(min(held, key=lambda r: r[0]))
-            held.clear()
-
-        def table() -> pa.RecordBatch:
-            matches = [(*m, None, None, None, None) for m in found] + [(e[0], None, None, None, e[1], e[4], e[5], e[6]) for e in edges]
-            found.clear()
-            edges.clear()
-            columns = list(zip(*matches)) or [()] * 8
-            kinds = [pa.int64()] * 5 + [pa.binary()] * 3
-            names = ["doc_id", "start", "n_words", "earlier_id", "pos", "head", "right", "left"]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
-        first = True
+        waiting: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            for doc_id, pos, head, right, left in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "pos", "head", "right", "left"))):
-                if held and held[-1][4] != head:
-                    close(first)
-                    first = False
-                held.append((doc_id, pos, right.split(), left.split(), head, right, left))
-            if found:
-                yield table()
-        close(True)
-        yield table()
-
-    keys = ["head", order, "right" if order == "left" else "left", "doc_id", "pos"]
-    schema = "doc_id long, start long, n_words long, earlier_id long, pos long, head binary, right binary, left binary"
-
-    def apply(rows: DataFrame, single: bool = False) -> DataFrame:
-        dealt = rows.repartition(1) if single else rows.repartitionByRange(*keys)
-        return dealt.sortWithinPartitions(*keys).select("doc_id", "pos", "head", "right", "left").mapInArrow(run, schema)
-
-    return apply
-
+            if not batch.num_rows:
+                continue
+            keys = batch.column("key").to_numpy()
+            if size >= rows:  # the runs before the first new key are whole
+                turn = np.flatnonzero(keys != waiting[-1].column("key")[-1].as_py())
+                if len(turn):
+                    yield spans([*waiting, batch.slice(0, turn[0])] if turn[0] else waiting)
+                    waiting, size, batch = [], 0, batch.slice(turn[0])
+            waiting.append(batch)
+            size += batch.num_rows
+        if waiting:
+            yield spans(waiting)
+
+    return suffixes.repartition("key").sortWithinPartitions("key").select("key", *COLUMNS).mapInArrow(run, SPANS)
+
+
+def _long_runs(suffixes: DataFrame, least: int, gram: int) -> DataFrame:
+    """The same spans for runs too long for one task: every window around a suffix is a row of its own.
+
+    Windows are counted by Spark, whose sums are combined before they are exchanged.
+    """
 
-def repeated_passages(docs: DataFrame, *, least: int = LEAST_WORDS, gram: int = GRAM) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (rights, n_right), (lefts, n_left) = word_matrix(batch.column("right"), least), word_matrix(batch.column("left"), least - gram)
+            docs, pos = batch.column("doc_id").to_numpy(), batch.column("pos").to_numpy()
+            # hashes of the first words to the right and to the left, by length
+            right, left = (np.zeros((len(docs), w.shape[1] + 1), np.uint64) for w in (rights, lefts))
+            for sums, words in ((right, rights), (left, lefts)):
+                for k in range(words.shape[1]):
+                    sums[:, k + 1] = mix(sums[:, k] * np.uint64(0xD6E8FEB86659FD93) + words[:, k])
+            for before in range(least - gram + 1):
+                able = np.flatnonzero((n_left >= before) & (n_right >= least - before))
+                a, b = right[able, least - before], left[able, before] + np.uint64(before)
+                columns = [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(docs[able]), pa.array(pos[able] - before)]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "doc_id", "start"])
+
+    windows = cut(suffixes.select(*COLUMNS).mapInArrow(run, "a long, b long, doc_id long, start long"))
+    lowest = windows.groupBy("a", "b").agg(F.min("doc_id").alias("earlier_id"), F.max("doc_id").alias("last")).where("earlier_id < last")
+    found = windows.join(lowest.drop("last"), ["a", "b"]).where("earlier_id < doc_id")
+    return found.select("doc_id", "start", F.lit(least).cast("long").alias("n_words"), "earlier_id")
+
+
+def repeated_passages(docs: DataFrame, *, least: int = LEAST_WORDS, gram: int = GRAM, longest_run: int = LONGEST_RUN, rows: int = TOGETHER) -> DataFrame:
     """doc_id, start, n_words, earlier_id: the word spans that a document with a smaller doc_id holds too.
 
-    A span is the union of overlapping matches of at least `least` words; earlier_id is the
-    smallest document matched. Documents without such a span have no row, nor has the
+    A span is the union of overlapping windows of `least` words that start in a smaller document as well; earlier_id is the
+    smallest such document. Documents without such a span have no row, nor has the
     first holder of a passage. Null or short texts and rows without doc_id match nothing, rows
-    of one doc_id do not match each other, extra columns are ignored, no rows give none.
+    of one doc_id do not match each other, extra columns are ignored, no rows give none. A text of any length is read
+    whole, in one task. Runs of equal heads beyond `longest_run` suffixes are matched window by window instead of in one task,
+    with the same result. Words are compared by 64-bit hashes.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     held = with_shared_anchors(own, least, gram)
-    suffixes = cut(_suffixes(held.where("keys is not null"), least, gram))
-    matches = None
-    for order in ("right", "left"):
-        sorted_pass = _neighbour_matches(order, least)
-        found = cut(sorted_pass(suffixes))
-        across = sorted_pass(found.where("start is null").select("doc_id", "pos", "head", "right", "left"), single=True)
-        both = found.unionByName(across).where("start is not null").select("doc_id", "start", "n_words", "earlier_id")
-        matches = both if matches is None else matches.unionByName(both)
-    spans = matches.groupBy("doc_id", "start", "n_words").agg(F.min("earlier_id").alias("earlier_id"))
+    suffixes = cut(_suffixes(held.where("keys is not null"), least, gram).withColumn("key", F.xxhash64("head")))
+    sizes = suffixes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    long = cut(sizes.where((F.col("n") > longest_run) & (F.col("a") < F.col("b"))).select("key"))
+    spans = _sorted_runs(suffixes.join(long, "key", "left_anti"), least, gram, rows)
+    spans = cut(spans.unionByName(_long_runs(suffixes.join(long, "key", "left_semi"), least, gram)))
+    spans = spans.groupBy("doc_id", "start", "n_words").agg(F.min("earlier_id").alias("earlier_id"))
     spans = spans.withColumn("stop", F.col("start") + F.col("n_words"))
     sequence = Window.partitionBy("doc_id").orderBy("start", "stop")
     before = F.max("stop").over(sequence.rowsBetween(Window.unboundedPreceding, -1))

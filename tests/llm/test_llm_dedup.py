@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -50,18 +51,51 @@ def test_automaton_takes_the_smallest_holder():
     assert automaton.removed(words, 3).sum() == 0 and automaton.removed(words, 9).all()
 
 
-def test_suffixes_equal_brute_force_on_odd_rows(documents, odd_rows):
+def spans_found(docs, **options):
     got = defaultdict(set)
-    for r in suffixes.repeated_passages(documents(odd_rows)).collect():
+    for r in suffixes.repeated_passages(docs, **options).collect():
         got[r.doc_id].update(range(r.start, r.start + r.n_words))
         assert r.earlier_id < r.doc_id
+    return got
+
+
+def spans_by_hand(rows, window):
     want = defaultdict(set)
-    for d, _, g in brute_cover(odd_rows, 50):
+    for d, _, g in brute_cover(rows, window):
         if any(g):
             want[d].update(np.flatnonzero(g))
+    return want
+
+
+# runs sorted together, one at a time, and none at all: every window as a row
+RUNS = [{}, {"rows": 1}, {"longest_run": 1}, {"longest_run": 3, "rows": 7}]
+
+
+@pytest.mark.parametrize("options", RUNS)
+def test_suffixes_equal_brute_force_on_odd_rows(documents, odd_rows, options):
+    got, want = spans_found(documents(odd_rows), **options), spans_by_hand(odd_rows, 50)
     assert got == want and want
 
 
+@pytest.mark.parametrize("options", RUNS)
+def test_suffixes_find_every_holder_among_unlike_ones(documents, options):
+    """A phrase of many documents with passages of few around it, and lower documents that hold the phrase alone."""
+    draw = random.Random(9)
+    text = lambda n: [f"w{draw.randrange(100_000)}" for _ in range(n)]
+    phrase, rows = text(12), []
+    passages = [(text(draw.randint(15, 45)), text(draw.randint(15, 45))) for _ in range(20)]
+    for k in range(140):
+        if k % 7 < 3:
+            before, after = passages[k % 20]
+            cut_left, cut_right = draw.choice([0, 0, 5, 12]), draw.choice([0, 0, 4, 9])
+            body = before[cut_left:] + phrase + after[: len(after) - cut_right]
+        else:
+            body = text(20) + phrase + text(20)
+        rows.append((k, " ".join(text(draw.randint(0, 30)) + body + text(draw.randint(0, 30))), None, None))
+    got, want = spans_found(documents(rows), **options), spans_by_hand(rows, 50)
+    assert got == want and len(want) > 25
+
+
 def test_near_duplicates_equal_brute_force_on_odd_rows(documents, odd_rows):
     got = simhash.near_duplicates(documents(odd_rows)).collect()
     assert len(got) == len(odd_rows)
