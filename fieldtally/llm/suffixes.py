@@ -23,7 +23,7 @@ from fieldtally.operators.lineage import cut
 
 LEAST_WORDS = 50
 GRAM = 8
-LONGEST_RUN = 8192  # suffixes of one run that one task may sort
+LONGEST_RUN = 1 << 16  # suffixes of one run that one task sorts at most: some 130 MB
 TOGETHER = 20_000  # suffixes of several runs that are sorted at a time
 
 
@@ -165,28 +165,39 @@ def _sorted_runs(suffixes: DataFrame, least: int, gram: int, rows: int) -> DataF
 def _long_runs(suffixes: DataFrame, least: int, gram: int) -> DataFrame:
     """The same spans for runs too long for one task: every window around a suffix is a row of its own.
 
-    Windows are counted by Spark, whose sums are combined before they are exchanged.
+    Suffixes with equal words around them are one class; the smallest document of a window is aggregated over classes. In a
+    class the smallest document repeats the windows that a smaller one holds, the others repeat all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (rights, n_right), (lefts, n_left) = word_matrix(batch.column("right"), least), word_matrix(batch.column("left"), least - gram)
-            docs, pos = batch.column("doc_id").to_numpy(), batch.column("pos").to_numpy()
             # hashes of the first words to the right and to the left, by length
-            right, left = (np.zeros((len(docs), w.shape[1] + 1), np.uint64) for w in (rights, lefts))
+            right, left = (np.zeros((batch.num_rows, w.shape[1] + 1), np.uint64) for w in (rights, lefts))
             for sums, words in ((right, rights), (left, lefts)):
                 for k in range(words.shape[1]):
                     sums[:, k + 1] = mix(sums[:, k] * np.uint64(0xD6E8FEB86659FD93) + words[:, k])
             for before in range(least - gram + 1):
                 able = np.flatnonzero((n_left >= before) & (n_right >= least - before))
-                a, b = right[able, least - before], left[able, before] + np.uint64(before)
-                columns = [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(docs[able]), pa.array(pos[able] - before)]
-                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "doc_id", "start"])
-
-    windows = cut(suffixes.select(*COLUMNS).mapInArrow(run, "a long, b long, doc_id long, start long"))
-    lowest = windows.groupBy("a", "b").agg(F.min("doc_id").alias("earlier_id"), F.max("doc_id").alias("last")).where("earlier_id < last")
-    found = windows.join(lowest.drop("last"), ["a", "b"]).where("earlier_id < doc_id")
-    return found.select("doc_id", "start", F.lit(least).cast("long").alias("n_words"), "earlier_id")
+                windows = [right[able, least - before].view(np.int64), (left[able, before] + np.uint64(before)).view(np.int64), np.full(len(able), before)]
+                kept = [batch.column(c).take(pa.array(able)) for c in ("c", "d", "doc_id")]
+                yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, windows)], names=["c", "d", "lowest", "a", "b", "before"])
+
+    named = suffixes.withColumn("c", F.xxhash64("head", "right", "left")).withColumn("d", F.xxhash64("left", "right", F.lit(1)))
+    classes = named.groupBy("c", "d").agg(F.min("doc_id").alias("doc_id"), F.first("right").alias("right"), F.first("left").alias("left"))
+    windows = cut(classes.mapInArrow(run, "c long, d long, lowest long, a long, b long, before long"))
+    earliest = windows.groupBy("a", "b").agg(F.min("lowest").alias("earlier"))
+    repeats = F.col("earlier") < F.col("lowest")
+    every = windows.join(earliest, ["a", "b"]).groupBy("c", "d", "lowest").agg(
+        F.struct(F.max("before").alias("most"), F.min("before").alias("fewest"), F.min("earlier").alias("earlier")).alias("every"),
+        F.struct(
+            F.max(F.when(repeats, F.col("before"))).alias("most"), F.min(F.when(repeats, F.col("before"))).alias("fewest"), F.min("earlier").alias("earlier")
+        ).alias("own"),
+    )
+    rows = named.select("c", "d", "doc_id", "pos").join(every, ["c", "d"])
+    rows = rows.select("doc_id", "pos", F.when(F.col("doc_id") > F.col("lowest"), F.col("every")).otherwise(F.col("own")).alias("w")).where("w.most is not null")
+    length = F.lit(least) + F.col("w.most") - F.col("w.fewest")
+    return rows.select("doc_id", (F.col("pos") - F.col("w.most")).alias("start"), length.alias("n_words"), F.col("w.earlier").alias("earlier_id"))
 
 
 def repeated_passages(docs: DataFrame, *, least: int = LEAST_WORDS, gram: int = GRAM, longest_run: int = LONGEST_RUN, rows: int = TOGETHER) -> DataFrame:
