@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldtally.adapters import draws_from_events, read_table, survey_from_tables
 from fieldtally.functions import calendar, labels, numbers, text
 from fieldtally.operators import (
-    change, cleaning, composition, dims, diversity, draws, effort, explore, models, ordination, quality, reshape, stats, turnover,
+    change, cleaning, composition, dims, diversity, draws, effort, explore, models, ordination, quality, reshape, stats, subsets, turnover,
 )
 from fieldtally.operators.lineage import cut
 from fieldtally.operators.ordered import group_quantiles
@@ -32,6 +32,11 @@ TBI_PREDICTORS = [
     "aquatic_plant_area_m2", "gauge_start_m5", "gauge_start_diff", "dist_village",
     "rf_area_connected_in_wet_season_ha", "lwb_area_wet_ha",
 ]
+SEARCHED_PREDICTORS = [
+    "type_inlet_outlet", "large_water_body", "channel_type", "shape", "lwb_depth_dry_m", "lwb_area_wet_ha", "no_channel",
+    "rf_area_connected_in_dry_season_ha", "dist_market", "aquatic_plant_area_m2", "gauge_start_m2", "water_temp_m2", "phosphate_m2",
+    "brush_park_m2", "illegal_fishing_m5", "other_animal_m2", "water_bird_m2", "water_temp_diff", "gauge_start_diff",
+]
 EVENT_PARAMS = {
     "click": "b_bstnd_depth",
     "view": "b_bstnd_channelEarth",
@@ -1017,3 +1022,21 @@ def _(spark, d):
 @register("variable_importance")
 def _(spark, d):
     return models.variable_importance(models.subset_models(_subset_frame(spark, d), "logit_d", TBI_PREDICTORS))
+
+
+def _search(spark, d):
+    """Losses, gains and dissimilarity on 19 site and visit predictors, with an intercept for each flood year."""
+    table = survey_of_tables(spark, d).turnover_model_frame.where(F.col("pa_tr") == "no")
+    responses = {name: numbers.logit(numbers.zero_to(F.col(name), 0.001)) for name in ("b_stnd", "c_stnd", "d")}
+    return subsets.subset_search(table, responses, SEARCHED_PREDICTORS, within="year_s")
+
+
+@register("subset_search")
+def _(spark, d):
+    return _search(spark, d)
+
+
+@register("subset_importance")
+def _(spark, d):
+    found = _search(spark, d)
+    return models.formula_terms(found).groupBy("response", "variable").agg(F.sum("weight").alias("weight"))
