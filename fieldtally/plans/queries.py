@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldtally.adapters import draws_from_events, read_table, survey_from_tables
 from fieldtally.functions import calendar, labels, numbers, text
 from fieldtally.operators import (
-    change, cleaning, composition, dims, diversity, draws, effort, explore, models, ordination, quality, reshape, stats, subsets, turnover,
+    change, cleaning, composition, dims, diversity, draws, effort, explore, models, ordination, quality, reshape, stats, subsets, turnover, twopart,
 )
 from fieldtally.operators.lineage import cut
 from fieldtally.operators.ordered import group_quantiles
@@ -1024,6 +1024,31 @@ def _(spark, d):
     return models.variable_importance(models.subset_models(_subset_frame(spark, d), "logit_d", TBI_PREDICTORS))
 
 
+TWO_PART_TERMS = ["aquatic_plant_area_m2", "gauge_start_m5", "gauge_start_diff", "dist_village", "rf_area_connected_in_wet_season_ha", "lwb_area_wet_ha"]
+
+
+@register("two_part_shares")
+def _(spark, d):
+    """Expected losses and gains, and the share of zeros among them, of each type: mean over site-years and draws."""
+    frame = survey_of_tables(spark, d).turnover_model_frame
+    contrasts = models.design_columns({"type_inlet_outlet": reshape.level_list(frame, "type_inlet_outlet", limit=50)}, [])
+    design = {**contrasts, **_numeric(*TWO_PART_TERMS)}
+    parts = []
+    for response in ("b_stnd", "c_stnd"):
+        for kind in ("yes", "no"):
+            rows = frame.where(F.col("pa_tr") == kind)
+            drawn = cut(twopart.two_part_draws(rows, response, design, cluster="refuge", n_draws=N_BOOT))
+            found = twopart.expected_shares(drawn, rows.where(F.col(response).isNotNull()), design, keep=["refuge", "year_s"])
+            per_draw = found.groupBy("draw").agg(*[F.avg(c).alias(c) for c in ("zero_share", "share", "expected")])
+            observed = rows.agg(F.avg((F.col(response) == 0).cast("double"))).scalar()
+            summed = per_draw.agg(*[F.avg(c).alias(c) for c in ("zero_share", "share", "expected")], F.stddev_samp("expected").alias("expected_se"))
+            parts.append(cut(summed.withColumns({"response": F.lit(response), "pa_tr": F.lit(kind), "observed_zero_share": observed})))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def _search(spark, d):
     """Losses, gains and dissimilarity on 19 site and visit predictors, with an intercept for each flood year."""
     table = survey_of_tables(spark, d).turnover_model_frame.where(F.col("pa_tr") == "no")
