@@ -1,11 +1,14 @@
 """Exact top-k inner products over a bit-sliced index.
 
-Quantised components stand in blocks of rows as vertical bit slices. A query adds
-the slices of its non-zero signed digits with carry-save adders, which gives the
-bit slices of every row's score; the top rows are selected from the most
-significant slice downward. Slices below `coarse_bits` are left out of the sums:
-a Cauchy bound on what they can add widens the boundary, and boundary rows are
-resolved with their exact integer vectors.
+Quantised components stand in blocks of rows as vertical bit slices, built and
+written once per block. A query adds the slices of its non-zero signed digits with
+carry-save adders, which gives the bit slices of every row's score; the top rows
+are selected from the most significant slice downward. Slices below `coarse_bits`
+are left out of the sums: a Cauchy bound on what they can add widens the boundary,
+and boundary rows are resolved with their exact integer vectors.
+
+Blocks stay where they are: a task holds one group of blocks and reads all queries
+past it, keeping each query's running best. Only the queries are copied, once a group.
 """
 
 from __future__ import annotations
@@ -22,7 +25,10 @@ from fieldtally.operators.lineage import cut
 
 QUANTUM = 256
 BLOCK_ROWS = 65_536
-QUERY_ROWS = 256
+SMALL_BLOCK_ROWS = 16_384  # small tables have smaller blocks, so that several tasks search them
+GROUP_BLOCKS = 8  # blocks in one task's memory: some 12 MB each at 64 components
+SPREAD_GROUPS = 64  # groups before blocks share one
+QUERY_ROWS = 1024
 COARSE_BITS = 3
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -53,10 +59,11 @@ class Block:
     """Index of one block of rows, ordered by id."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, coarse_bits: int = COARSE_BITS):
-        order = np.lexsort((*vectors.T[::-1], ids))
-        self.ids, self.vectors = ids[order], vectors[order]
-        self.low = self.vectors.min(axis=0)
-        raised = (self.vectors - self.low).astype(np.uint64)
+        order = np.argsort(ids, kind="stable")
+        self.ids, exact = ids[order], vectors[order]
+        self.low = exact.min(axis=0)
+        raised = (exact - self.low).astype(np.uint64)
+        self.vectors = exact.astype("<i2") if max(-int(self.low.min()), int(exact.max())) < 1 << 15 else exact.astype("<i4")
         spread = int(raised.max()).bit_length()
         self.coarse = min(coarse_bits, max(0, spread - 1))
         shifts = np.arange(self.coarse, max(spread, 1), dtype=np.uint64)
@@ -66,6 +73,23 @@ class Block:
         self.rest_norm = float(np.sqrt((rest**2).sum(axis=1).max()))
         self.valid = pack_bits(np.ones(len(ids), bool))
 
+    def stored(self) -> dict[str, bytes | int | float]:
+        """Columns of the written index."""
+        return {
+            "ids": self.ids.astype("<i8").tobytes(), "v": self.vectors.tobytes(), "bytes_each": self.vectors.itemsize,
+            "slices": self.slices.tobytes(), "coarse": self.coarse, "rest_norm": self.rest_norm,
+        }
+
+    @classmethod
+    def read(cls, row: dict) -> Block:
+        block, width = cls.__new__(cls), row["width"]
+        block.ids = np.frombuffer(row["ids"], "<i8")
+        block.vectors = np.frombuffer(row["v"], f"<i{row['bytes_each']}").reshape(-1, width)
+        block.valid = pack_bits(np.ones(len(block.ids), bool))
+        block.slices = np.frombuffer(row["slices"], "<u8").reshape(width, -1, len(block.valid))
+        block.coarse, block.rest_norm = row["coarse"], row["rest_norm"]
+        return block
+
     def score_slices(self, query: np.ndarray) -> list[np.ndarray]:
         """Bit slices of a coarse score (in units of 2**coarse, offset to be non-negative), least significant first."""
         digits = np.array([(d, *digit) for d in np.flatnonzero(query) for digit in signed_digits(int(query[d]))], np.int64).reshape(-1, 3)
@@ -104,7 +128,7 @@ class Block:
         margin = int(np.ceil(2 * np.linalg.norm(query.astype(np.float64)) * self.rest_norm / (1 << self.coarse))) + 1 if self.coarse else 0
         least = _kth_largest(slices, candidates, k) - margin
         rows = np.flatnonzero(np.unpackbits(_at_least(slices, candidates, least).view(np.uint8), bitorder="little"))
-        scores = self.vectors[rows] @ query
+        scores = self.vectors[rows].astype(np.int64) @ query
         best = np.lexsort((self.ids[rows], -scores))[:k]
         return self.ids[rows[best]], scores[best]
 
@@ -144,23 +168,29 @@ def _usable(vectors: DataFrame, vector: str) -> DataFrame:
     )
 
 
-def _packed(rows: DataFrame, block: Column, label: str) -> DataFrame:
-    """One row per block: ids and vectors as bytes, rows ordered by id, repeated ids once (least vector)."""
+SIDE = "width int, part int, ids binary, v binary, bytes_each int, slices binary, coarse int, rest_norm double"
+
+
+def _packed(rows: DataFrame, part: Column, *, index: bool) -> DataFrame:
+    """One row per width and part: ids and vectors as bytes, and for the index the bit slices of the block."""
+    names = [f.split()[0] for f in SIDE.split(", ")]
 
     def pack(table: pa.Table) -> pa.Table:
         width = table.column("width")[0].as_py()
         ids = table.column("vec_id").to_numpy()
         v = pa.compute.list_flatten(table.column("v")).to_numpy().reshape(-1, width)
-        order = np.lexsort((*v.T[::-1], ids))
-        ids, v = ids[order], v[order]
-        kept = np.append(True, ids[1:] != ids[:-1])
-        return pa.table({
-            "width": pa.array([width], pa.int32()), label: table.column("part")[:1].cast(pa.int32()),
-            f"{label}_ids": pa.array([ids[kept].astype("<i8").tobytes()]), f"{label}_v": pa.array([v[kept].astype("<i4").tobytes()]),
-        })
+        row = Block(ids, v).stored() if index else {"ids": ids.astype("<i8").tobytes(), "v": v.astype("<i4").tobytes(), "bytes_each": 4}
+        row |= {"width": width, "part": table.column("part")[0].as_py()}
+        types = {"bytes_each": pa.int32(), "width": pa.int32(), "part": pa.int32(), "coarse": pa.int32(), "rest_norm": pa.float64()}
+        return pa.table({n: pa.array([row.get(n)], types.get(n, pa.binary())) for n in names})
+
+    return rows.withColumn("part", part.cast("int")).groupBy("width", "part").applyInArrow(pack, SIDE)
+
 
-    parted = rows.withColumn("part", block)
-    return parted.groupBy("width", "part").applyInArrow(pack, f"width int, {label} int, {label}_ids binary, {label}_v binary")
+def _best(found: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    ids, scores = (np.concatenate(side) for side in zip(*found))
+    order = np.lexsort((ids, -scores))[:k]
+    return ids[order], scores[order]
 
 
 def top_k(vectors: DataFrame, *, queries: Column, k: int = 5, vector: str = "embedding") -> DataFrame:
@@ -168,37 +198,50 @@ def top_k(vectors: DataFrame, *, queries: Column, k: int = 5, vector: str = "emb
 
     Components become floor(256 x). Vectors that are null, empty, or hold null or
     non-finite components take no part, nor do null ids; only vectors of one width are
-    compared. An id in several rows counts once, with its least vector. Quantised components must
+    compared. Rows that repeat an id all count as candidates of other ids; as queries
+    their candidates are ranked together, k a query id. Quantised components must
     fit 32 bits and scores 64. Fewer than k others: all of them. No rows give none.
 
-    Queries are compared with every block of the index in blocks of their own; each pair of
-    blocks yields k rows a query, and a last step merges those.
+    The index crosses the network once. A group of blocks gets every query once, so
+    queries are copied as often as there are groups: SPREAD_GROUPS until a group holds
+    GROUP_BLOCKS whole blocks. Each group yields k rows a query, and a last step merges those.
     """
-    held = cut(_usable(vectors, vector).withColumn("asked", queries))
-    n = max(1, held.count())
-    blocks, parts = -(-n // BLOCK_ROWS), max(1, -(-held.where("asked").count() // QUERY_ROWS))
-    index = cut(_packed(held, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)), "b"))
-    asked = cut(_packed(held.where("asked"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)), "q"))
-    pairs = index.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(asked, ["width", "q"])
-    pairs = pairs.repartition(min(blocks * parts, 4096), "b", "q") if blocks * parts > 1 else pairs
+    own_place = F.xxhash64("vec_id", F.monotonically_increasing_id())  # written, so a repeated id is spread for good
+    held = cut(_usable(vectors, vector).withColumn("asked", queries).withColumn("spread", own_place))
+    n, n_asked = (max(1, c) for c in held.agg(F.count(F.lit(1)), F.count(F.when(F.col("asked"), 1))).first())
+    blocks = max(-(-n // BLOCK_ROWS), min(SPREAD_GROUPS, -(-n // SMALL_BLOCK_ROWS)))
+    groups = max(-(-blocks // GROUP_BLOCKS), min(SPREAD_GROUPS, blocks))
+    parts = -(-n_asked // QUERY_ROWS)
+    index = cut(_packed(held, F.pmod("spread", F.lit(blocks)), index=True))
+    asked = cut(_packed(held.where("asked"), F.pmod(F.xxhash64("spread"), F.lit(parts)), index=False))
+    sent = asked.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("turn", F.lit(1))
+    stayed = index.withColumn("grp", F.pmod("part", F.lit(groups)).cast("int")).withColumn("turn", F.lit(0))
+    streams = stayed.unionByName(sent).repartitionById(groups, "grp").sortWithinPartitions("grp", "width", "turn", "part")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held_blocks = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                width = row["width"]
-                read = lambda side: (np.frombuffer(row[f"{side}_ids"], "<i8"), np.frombuffer(row[f"{side}_v"], "<i4").reshape(-1, width).astype(np.int64))
-                block, (query_ids, query_v) = Block(*read("b")), read("q")
-                found = [block.top(v, q, k) for q, v in zip(query_ids, query_v)]
-                sizes = [len(ids) for ids, _ in found]
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                if place != (row["grp"], row["width"]):
+                    place, held_blocks = (row["grp"], row["width"]), []
+                if row["turn"] == 0:
+                    held_blocks.append(Block.read(row))
+                    continue
+                if not held_blocks:
+                    continue
+                query_ids = np.frombuffer(row["ids"], "<i8")
+                query_v = np.frombuffer(row["v"], "<i4").reshape(-1, row["width"]).astype(np.int64)
+                found = [_best([b.top(v, q, k) for b in held_blocks], k) for q, v in zip(query_ids, query_v)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.repeat(query_ids, sizes)),
+                        pa.array(np.repeat(query_ids, [len(ids) for ids, _ in found])),
                         pa.array(np.concatenate([ids for ids, _ in found])),
                         pa.array(np.concatenate([scores for _, scores in found])),
                     ],
                     names=["query_id", "vec_id", "score"],
                 )
 
-    near = pairs.select("width", "b_ids", "b_v", "q_ids", "q_v").mapInArrow(search, "query_id long, vec_id long, score long")
+    near = streams.mapInArrow(search, "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

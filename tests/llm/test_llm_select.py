@@ -87,20 +87,36 @@ def test_mixing_buckets_keep_the_order(documents, monkeypatch):
     assert sorted(tuple(r) for r in mixing.mix(docs, target).collect()) == whole
 
 
-def test_top_k_equals_brute_force(spark):
+def test_top_k_equals_brute_force(spark, monkeypatch):
     draw = np.random.default_rng(2)
     vectors = [(int(k), [float(x) for x in draw.normal(0, 0.2, 12).astype(np.float32)]) for k in range(400)]
     vectors += [(k, vectors[50][1]) for k in range(400, 480)]  # ties beyond any k
     vectors += [(480, None), (481, [None] * 12), (482, [float("nan")] * 12), (483, [float("inf")] * 12), (None, vectors[3][1]), (484, []), (485, [0.5, 0.25])]
-    vectors += [(50, vectors[50][1])]
+    vectors += [(50, vectors[50][1]), (50, vectors[7][1]), (101, vectors[50][1])] + [(100, vectors[100][1])] * 30  # repeated ids
     frame = spark.createDataFrame([(k, v, 1, 2) for k, v in vectors], "vec_id long, embedding array<float>, v int, asked int")
     got = [tuple(r) for r in bitslices.top_k(frame, queries=F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
-    usable = {k: np.floor(256 * np.array(v, float)).astype(int) for k, v in vectors if k is not None and v and len(v) == 12 and None not in v and np.isfinite(v).all()}
+    usable = [(k, np.floor(256 * np.array(v, float)).astype(int)) for k, v in vectors if k is not None and v and len(v) == 12 and None not in v and np.isfinite(v).all()]
     want = []
-    for q in sorted(k for k in usable if k % 50 == 0):
-        best = sorted((-int(usable[q] @ v), k) for k, v in usable.items() if k != q)[:5]
+    for q in sorted({k for k, _ in usable if k % 50 == 0}):
+        best = sorted((-int(mine @ v), k) for own, mine in usable if own == q for k, v in usable if k != q)[:5]
         want += [(q, place + 1, k, -s) for place, (s, k) in enumerate(best)]
     assert got == want
+    # many groups of several blocks, several parts of queries
+    for name, value in (("BLOCK_ROWS", 16), ("SMALL_BLOCK_ROWS", 16), ("GROUP_BLOCKS", 3), ("SPREAD_GROUPS", 5), ("QUERY_ROWS", 4)):
+        monkeypatch.setattr(bitslices, name, value)
+    parted = bitslices.top_k(frame, queries=F.col("vec_id") % 50 == 0).orderBy("query_id", "rank")
+    assert [tuple(r) for r in parted.collect()] == want
+
+
+def test_stored_block_reads_back():
+    draw = np.random.default_rng(3)
+    for top in (90, 40_000):
+        block = bitslices.Block(draw.permutation(100), draw.integers(-top, top, (100, 7)))
+        again = bitslices.Block.read({**block.stored(), "width": 7})
+        assert (again.vectors == block.vectors).all() and again.vectors.itemsize == (2 if top == 90 else 4)
+        for query in draw.integers(-top, top, (5, 7)):
+            for one, two in zip(block.top(query, 5, 8), again.top(query, 5, 8)):
+                assert (one == two).all()
 
 
 @pytest.mark.parametrize("coarse", [0, 1, 3, 6])
@@ -109,7 +125,7 @@ def test_score_slices_add_up(coarse):
     block = bitslices.Block(np.arange(100), draw.integers(-90, 90, (100, 7)), coarse)
     for query in draw.integers(-90, 90, (20, 7)):
         ids, scores = block.top(query, 5, 8)
-        exact = block.vectors @ query
+        exact = block.vectors.astype(np.int64) @ query
         want = sorted((-int(s), int(i)) for i, s in zip(block.ids, exact) if i != 5)[:8]
         assert [(-int(s), int(i)) for i, s in zip(ids, scores)] == want
     assert bitslices.signed_digits(7) == [(0, -1), (3, 1)]
