@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.config import SurveyConfig
@@ -13,6 +13,7 @@ from fieldtally.operators.ordered import with_position
 from fieldtally.operators.permutation import TOLERANCE, hash_uint32, sign_flip_test
 
 SITE_YEAR = ("year_s", "refuge")
+SITES_PER_BIN = 100
 
 
 def _by_month(catch_full: DataFrame, months: Sequence[str]) -> DataFrame:
@@ -99,18 +100,26 @@ def gain_loss_test(turnover_table: DataFrame, config: SurveyConfig = SurveyConfi
 
 
 def turnover_p_values(
-    catch_full: DataFrame, config: SurveyConfig = SurveyConfig(), *, n_perm: int = 99
+    catch_full: DataFrame, config: SurveyConfig = SurveyConfig(), *, n_perm: int | None = None
 ) -> DataFrame:
-    """Permutation p-value of every site-year's dissimilarity.
+    """Permutation p-value of every site-year's dissimilarity, from `n_perm` permutations or a few more.
 
     Site-years are reordered independently for each species, with the same order
     in both months. A site's test looks only at where that site's species come
     from, so any family of reorderings that gives each site a uniform, per
     species independent source has the same null distribution. Rotating the
-    site-years by a random offset per (permutation, species) is one, and needs
-    neither a sort nor a shuffle per permutation: every non-empty entry is sent
-    straight to its new site-year.
+    site-years by a random offset per (rotation, species) is one, and needs
+    neither a sort nor a shuffle: every non-empty entry is sent straight to its
+    new site-year.
+
+    One rotation serves many permutations. Site-years fall into bins of
+    `SITES_PER_BIN` to twice as many (all in one, if fewer), and a rotation is followed by every
+    cyclic shift within the bins, alike for all species, which leaves sources
+    uniform and independent between species. A site thus meets the values of
+    its whole bin, drawn from entries that no two of them share, and its hits
+    are a running count over the bin's sorted values.
     """
+    n_perm = config.n_perm if n_perm is None else n_perm
     months = sorted({m for pair in config.comparisons for m in pair}, key=int)
     wide = _by_month(catch_full, months)
     rows = []
@@ -134,52 +143,46 @@ def turnover_p_values(
         .drop("_f", "_s")
     )
     placed = cut(with_position(sites, "_site", by=["comparison"], order=list(SITE_YEAR)))
-    sizes = placed.groupBy("comparison").agg(F.count(F.lit(1)).alias("_size"))
+    counts = placed.groupBy("comparison").agg(F.count(F.lit(1)).alias("_size"))
+    counts = counts.withColumn("_bins", F.greatest(F.lit(1), F.floor(F.col("_size") / SITES_PER_BIN)))
+    sizes = cut(counts.withColumn("_rotations", F.ceil(F.lit(n_perm) / F.floor(F.col("_size") / F.col("_bins")))))
 
     def dissimilarity(kind: str) -> Column:
         change = F.col(f"B_{kind}") + F.col(f"C_{kind}")
         return F.try_divide(change, 2 * F.col(f"A_{kind}") + change)
 
-    observed = placed.select(
-        "comparison", *SITE_YEAR, "_site", dissimilarity("p").alias("d_p"), dissimilarity("a").alias("d_a")
-    )
+    def both(*columns: Column | str) -> list[Column | str]:
+        kinds = [F.struct(F.lit(k == "p").alias("pa_tr"), dissimilarity(k).alias("d")) for k in "pa"]
+        return [*columns, F.inline(F.array(*kinds))]
+
+    bin_of = (F.col("_site") % F.col("_bins")).alias("_bin")
     filled = entries.where(" + ".join(measures) + " > 0").select("comparison", *SITE_YEAR, "species", *measures)
     spread = int(catch_full.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Entries are spread evenly before each is multiplied by the rotations.
     moved = (
         filled.join(placed.select("comparison", *SITE_YEAR, "_site"), ["comparison", *SITE_YEAR])
         .join(sizes, "comparison")
         .repartition(spread, "comparison", *SITE_YEAR, "species")
-        .withColumn("_perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
+        .withColumn("_rotation", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rotations").cast("long"))))
         .withColumn(
             "_site",
-            (F.col("_site") + hash_uint32(F.lit(config.seed), F.col("species"), F.col("_perm"))) % F.col("_size"),
-        )
-    )
-    # Entries are spread evenly before each is multiplied by the permutations.
-    # Hashing on the target site alone serves this aggregation, the join and the
-    # final count; targets are uniform, so the partitions are even.
-    shuffled = (
-        moved.select("comparison", "_site", "_perm", *measures)
-        .repartition("comparison", "_site")
-        .groupBy("comparison", "_site", "_perm")
-        .agg(*[F.sum(m).alias(m) for m in measures])
-        .select("comparison", "_site", dissimilarity("p").alias("s_p"), dissimilarity("a").alias("s_a"))
-    )
-    counted = (
-        observed.join(shuffled, ["comparison", "_site"], "left")
-        .groupBy("comparison", *SITE_YEAR, "_site", "d_p", "d_a")
-        .agg(
-            F.count(F.when(F.col("s_p") >= F.col("d_p") - TOLERANCE, 1)).alias("_hits_p"),
-            F.count(F.when(F.col("s_a") >= F.col("d_a") - TOLERANCE, 1)).alias("_hits_a"),
+            (F.col("_site") + hash_uint32(F.lit(config.seed), F.col("species"), F.col("_rotation"))) % F.col("_size"),
         )
     )
-    both = F.array(
-        F.struct(F.lit(True).alias("pa_tr"), F.col("d_p").alias("d"), F.col("_hits_p").alias("_hits")),
-        F.struct(F.lit(False).alias("pa_tr"), F.col("d_a").alias("d"), F.col("_hits_a").alias("_hits")),
+    rotated = moved.groupBy("comparison", "_site", "_rotation", "_bins").agg(*[F.sum(m).alias(m) for m in measures])
+    draws = rotated.select(*both("comparison", bin_of)).where(F.col("d").isNotNull())
+    observed = placed.join(sizes, "comparison").select(*both("comparison", *SITE_YEAR, bin_of, "_size", "_bins", "_rotations"))
+
+    # Draws stand before observed values they reach within the tolerance; a bin has some n_perm rows.
+    in_bin = Window.partitionBy("comparison", "_bin", "pa_tr").orderBy(F.desc_nulls_last("_value"), F.desc("_drawn"))
+    stacked = draws.select("comparison", "_bin", "pa_tr", F.col("d").alias("_value"), F.lit(1).alias("_drawn")).unionByName(
+        observed.withColumns({"_value": F.col("d") - TOLERANCE, "_drawn": F.lit(0)}), allowMissingColumns=True
     )
-    return counted.select("comparison", *SITE_YEAR, F.inline(both)).select(
+    in_this_bin = F.floor(F.col("_size") / F.col("_bins")) + F.when(F.col("_bin") < F.col("_size") % F.col("_bins"), 1).otherwise(0)
+    counted = stacked.withColumn("_hits", F.sum("_drawn").over(in_bin.rowsBetween(Window.unboundedPreceding, 0))).where("_drawn = 0")
+    return counted.select(
         "comparison", "pa_tr", *SITE_YEAR, "d",
-        F.when(F.col("d").isNotNull(), (F.col("_hits") + 1) / F.lit(n_perm + 1)).alias("p_value"),
+        F.when(F.col("d").isNotNull(), (F.col("_hits") + 1) / (F.col("_rotations") * in_this_bin + 1)).alias("p_value"),
     )
 
 

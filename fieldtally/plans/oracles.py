@@ -7,8 +7,9 @@ import re
 
 from fieldtally.adapters import RECORD_COLUMNS, SITE_COLUMNS, SITE_MEASURES, VISIT_COLUMNS, VISIT_MEASURES
 from fieldtally.operators import dims
+from fieldtally.operators.turnover import SITES_PER_BIN
 from fieldtally.plans.queries import (
-    CFG, EVENT_EFFECTS, EVENT_PARAMS, N_BOOT, N_PERM_SITES, NUMERIC_COVARIATES, SEASON_MEASURES, TBI_PREDICTORS,
+    CFG, EVENT_EFFECTS, EVENT_PARAMS, N_BOOT, NUMERIC_COVARIATES, SEASON_MEASURES, TBI_PREDICTORS,
 )
 
 
@@ -411,16 +412,22 @@ ORACLES["tbi_gain_loss_test"] = f"""SELECT comparison, pa_tr, n_pairs, {R('mean_
   JOIN (SELECT comparison, pa_tr, count(*) FILTER (abs(ps) >= abs(tot) - 1e-9) AS hits FROM
     (SELECT comparison, pa_tr, perm, sum(s * (c_stnd - b_stnd)) AS ps, sum(c_stnd - b_stnd) AS tot FROM tbi JOIN unit_signs USING (refuge, year_s) WHERE d IS NOT NULL GROUP BY ALL)
     GROUP BY ALL) USING (comparison, pa_tr)"""
-ORACLES["tbi_perm_p"] = f"""SELECT comparison, pa_tr, year_s, refuge, {R('any_value(d)', 'd')},
-  {R(f'CASE WHEN any_value(d) IS NOT NULL THEN (count(*) FILTER (ds >= d - 1e-9) + 1) / {N_PERM_SITES + 1}.0 END', 'p_value')} FROM
-  (SELECT comparison, pa_tr, year_s, refuge, d, row_number() OVER (PARTITION BY comparison, pa_tr ORDER BY year_s, refuge) - 1 AS site FROM tbi) o
-  LEFT JOIN (SELECT comparison, pa_tr, perm, target AS site, (sum(greatest(y1 - y2, 0)) + sum(greatest(y2 - y1, 0)))
+ORACLES["tbi_perm_p"] = f"""SELECT * FROM (WITH site_bins AS (SELECT *, n // bins + CASE WHEN bin < n % bins THEN 1 ELSE 0 END AS in_bin,
+    ({CFG.n_perm} + n // bins - 1) // (n // bins) AS rotations FROM
+    (SELECT *, site % bins AS bin FROM (SELECT *, greatest(1, n // {SITES_PER_BIN}) AS bins FROM
+      (SELECT comparison, refuge, year_s, row_number() OVER (PARTITION BY comparison ORDER BY year_s, refuge) - 1 AS site,
+       count(*) OVER (PARTITION BY comparison) AS n FROM pairs)))),
+  draws AS (SELECT comparison, pa_tr, rotation, target, target % bins AS bin, (sum(greatest(y1 - y2, 0)) + sum(greatest(y2 - y1, 0)))
      / nullif(2 * sum(least(y1, y2)) + sum(abs(y1 - y2)), 0) AS ds FROM
-    (SELECT comparison, pa_tr, perm, y1, y2, (site + {hash32("'0'", "species", "perm::VARCHAR")}) % n AS target
-     FROM pair_cells JOIN (SELECT comparison, refuge, year_s, row_number() OVER (PARTITION BY comparison ORDER BY year_s, refuge) - 1 AS site,
-       count(*) OVER (PARTITION BY comparison) AS n FROM pairs) USING (comparison, refuge, year_s),
-       (SELECT range AS perm FROM range(1, {N_PERM_SITES + 1})) WHERE y1 + y2 > 0)
-    GROUP BY ALL) USING (comparison, pa_tr, site) GROUP BY comparison, pa_tr, year_s, refuge"""
+    (SELECT comparison, pa_tr, bins, rotation, y1, y2, (site + {hash32("'0'", "species", "rotation::VARCHAR")}) % n AS target
+     FROM (SELECT *, unnest(range(1, rotations + 1)) AS rotation FROM pair_cells JOIN site_bins USING (comparison, refuge, year_s) WHERE y1 + y2 > 0))
+    GROUP BY comparison, pa_tr, rotation, target, bins),
+  counted AS (SELECT o.comparison, o.pa_tr, o.year_s, o.refuge, any_value(d) AS d, any_value(rotations * in_bin) AS n_draws,
+    count(*) FILTER (ds >= d - 1e-9) AS hits
+    FROM tbi o JOIN site_bins USING (comparison, year_s, refuge) LEFT JOIN draws USING (comparison, pa_tr, bin)
+    GROUP BY o.comparison, o.pa_tr, o.year_s, o.refuge)
+  SELECT comparison, pa_tr, year_s, refuge, {R('d', 'd')},
+  {R('CASE WHEN d IS NOT NULL THEN (hits + 1) / (n_draws + 1.0) END', 'p_value')} FROM counted)"""
 ORACLES["species_change"] = every(
     "changes", ["mean_diff", "t", "p_value_param", "p_value_perm", "p_value_param_adjust"],
     ["species", "n_pairs", "species_name", "species_code", "family", "genus", "group", "type", "species_type_simple"],

@@ -17,7 +17,6 @@ from fieldtally.operators.ordered import group_quantiles
 from fieldtally.plans.survey import TABLES_CONFIG, survey_of_tables
 
 CFG = TABLES_CONFIG
-N_PERM_SITES = 99
 N_BOOT = 200
 
 NUMERIC_COVARIATES = [
@@ -266,7 +265,7 @@ def _(spark, d):
 
 @register("tbi_perm_p")
 def _(spark, d):
-    return turnover.turnover_p_values(survey_of_tables(spark, d).catch_full, CFG, n_perm=N_PERM_SITES)
+    return turnover.turnover_p_values(survey_of_tables(spark, d).catch_full, CFG)
 
 
 @register("species_change")
