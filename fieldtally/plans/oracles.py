@@ -9,7 +9,7 @@ from fieldtally.adapters import RECORD_COLUMNS, SITE_COLUMNS, SITE_MEASURES, VIS
 from fieldtally.operators import dims
 from fieldtally.operators.turnover import SITES_PER_BIN
 from fieldtally.plans.queries import (
-    CFG, EVENT_EFFECTS, EVENT_PARAMS, N_BOOT, NUMERIC_COVARIATES, SEASON_MEASURES, TBI_PREDICTORS,
+    CFG, EVENT_EFFECTS, EVENT_PARAMS, N_BOOT, NUMERIC_COVARIATES, SEASON_MEASURES, SPREAD_FACTORS, TBI_PREDICTORS,
 )
 
 
@@ -680,6 +680,32 @@ ORACLES["spread_draws"] = f"""SELECT draw, 'sd_refuge' AS param, {R('sqrt(greate
     (SELECT *, {poisson(hash32(chr(39) + '0' + chr(39), 'draw::VARCHAR', 'refuge') + ' / 4294967296.0::DOUBLE')} AS w FROM
       (SELECT refuge, count(*) AS n, avg(diversity_alpha) AS m, var_pop(diversity_alpha) AS v FROM frame GROUP BY refuge), boot_draws) GROUP BY draw)"""
 
+# Several factors together: expected sums of squares as a 4 x 4 system, solved by Cramer's rule.
+_FACTORS = SPREAD_FACTORS
+
+
+def determinant(rows: list[list[str]]) -> str:
+    if len(rows) == 1:
+        return rows[0][0]
+    minors = [determinant([r[:i] + r[i + 1:] for r in rows[1:]]) for i in range(len(rows))]
+    return "(" + " ".join(f"{'-' if i % 2 else '+'} {c} * {m}" for i, (c, m) in enumerate(zip(rows[0], minors))) + ")"
+
+
+CTES["spread_rows"] = f"""SELECT {', '.join(_FACTORS)}, diversity_alpha - avg(diversity_alpha) OVER () AS y, count(*) OVER () AS n_all FROM frame
+  WHERE diversity_alpha IS NOT NULL AND {' AND '.join(f'{f} IS NOT NULL' for f in _FACTORS)}"""
+CTES["spread_system"] = "SELECT n_all, yy, " + ", ".join(f"l{i}, ss{i}, c{i}" for i in range(3)) + ", " + ", ".join(f"k{i}{j}" for i in range(3) for j in range(3)) + (
+    " FROM (SELECT any_value(n_all) AS n_all, sum(y * y) AS yy FROM spread_rows)"
+    + "".join(f", (SELECT count(*) AS l{i}, sum(s * s / n) AS ss{i}, sum(n * n)::DOUBLE AS c{i} FROM (SELECT count(*) AS n, sum(y) AS s FROM spread_rows GROUP BY {f}))" for i, f in enumerate(_FACTORS))
+    + "".join(f", (SELECT sum(n2 / n) AS k{i}{j} FROM (SELECT {f}, sum(n * n)::DOUBLE AS n2, sum(n) AS n FROM (SELECT {f}, {g} AS other, count(*) AS n FROM spread_rows GROUP BY ALL) GROUP BY {f}))" for i, f in enumerate(_FACTORS) for j, g in enumerate(_FACTORS))
+)
+_left = [[f"(k{i}{j} - c{j} / n_all)" for j in range(3)] + [f"(l{i} - 1)"] for i in range(3)] + [[f"(n_all - c{j} / n_all)" for j in range(3)] + ["(n_all - 1)"]]
+_right = [f"ss{i}" for i in range(3)] + ["yy"]
+ORACLES["crossed_spread"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS component, n_levels, {R('v', 'variance')}, {R('sqrt(greatest(v, 0))', 'sd')} FROM (SELECT {'n_all' if i == 3 else f'l{i}'} AS n_levels, "
+    f"{determinant([r[:i] + [b] + r[i + 1:] for r, b in zip(_left, _right)])} / {determinant(_left)} AS v FROM spread_system)"
+    for i, name in enumerate([*_FACTORS, "residual"])
+)
+
 # The AIC of one- and two-predictor models has a closed form in correlations.
 _TB = TBI_PREDICTORS
 CTES["subset_rows"] = (

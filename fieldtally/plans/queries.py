@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldtally.adapters import draws_from_events, read_table, survey_from_tables
 from fieldtally.functions import calendar, labels, numbers, text
 from fieldtally.operators import (
-    change, cleaning, composition, dims, diversity, draws, effort, explore, models, ordination, quality, reshape, stats, subsets, turnover, twopart,
+    change, cleaning, composition, dims, diversity, draws, effort, explore, models, ordination, quality, reshape, spread, stats, subsets, turnover, twopart,
 )
 from fieldtally.operators.lineage import cut
 from fieldtally.operators.ordered import group_quantiles
@@ -1007,6 +1007,21 @@ def _(spark, d):
     return models.spread_draws(survey_of_tables(spark, d).diversity_frame, "diversity_alpha", "refuge", n_draws=N_BOOT)
 
 
+SPREAD_FACTORS = ["refuge", "category_name", "year_s"]
+
+
+@register("crossed_spread")
+def _(spark, d):
+    """Spread of diversity between sites, categories and flood years, estimated together."""
+    return spread.crossed_components(survey_of_tables(spark, d).diversity_frame, "diversity_alpha", SPREAD_FACTORS)
+
+
+@register("crossed_spread_draws")
+def _(spark, d):
+    frame = survey_of_tables(spark, d).diversity_frame
+    return spread.crossed_spread_draws(frame, "diversity_alpha", SPREAD_FACTORS, cluster="refuge", n_draws=N_BOOT)
+
+
 def _subset_frame(spark, d):
     table = survey_of_tables(spark, d).turnover_model_frame.where(F.col("pa_tr") == "no")
     response = numbers.logit(numbers.zero_to(F.col("d"), 0.001))
