@@ -2,7 +2,9 @@
 
 Document frequencies cover every learnable row. Weights are trained with
 follow-the-regularised-leader (proximal, elastic net) on a hash-chosen sample of
-about `PER_CLASS` labelled rows per language; a fifth of it sets the temperature.
+about `PER_CLASS` distinct labelled texts per language; a fifth of it sets the
+temperature. Every language is learned; weights are held for the n-grams that the
+sample holds, so a model has as many rows as those and as many columns as languages.
 """
 
 from __future__ import annotations
@@ -22,8 +24,7 @@ from fieldtally.llm.calibration import fit_temperature, softmax
 FEATURE_BITS = 17
 FEATURES = 1 << FEATURE_BITS
 ORDERS = (1, 2, 3)
-PER_CLASS = 2000  # bound of the training sample, rows per language
-MAX_CLASSES = 256  # a model has at most FEATURES x MAX_CLASSES weights
+PER_CLASS = 2000  # bound of the training sample, distinct texts per language
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.1
 SCALE = 50.0  # n-gram shares are multiplied by it, so that steps are of usual size
@@ -68,7 +69,8 @@ def ngram_features(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarra
 @dataclass
 class Model:
     classes: list[str]
-    table: np.ndarray  # (FEATURES + 1, classes): idf times weight; the last row is zero
+    place: np.ndarray  # (FEATURES + 1): row of each feature in `table`, the zero row if it was never learned
+    table: np.ndarray  # (learned features + 1, classes): idf times weight; the last row is zero
     bias: np.ndarray
     temperature: float
 
@@ -115,9 +117,9 @@ def _vectors(texts: list[str | None], idf: np.ndarray) -> list[tuple[np.ndarray,
     return out
 
 
-def train(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
+def train(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_classes: int, n_features: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
     """FTRL-proximal with elastic net over sparse rows; returns weights and bias."""
-    z = np.zeros((FEATURES + 1, n_classes))
+    z = np.zeros((n_features + 1, n_classes))
     n = np.zeros_like(z)
 
     def weights(ids: np.ndarray) -> np.ndarray:
@@ -128,7 +130,7 @@ def train(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_cl
     order = np.random.default_rng(7)
     for _ in range(EPOCHS):
         for k in order.permutation(len(vectors)):
-            ids, x = np.append(vectors[k][0], FEATURES), np.append(vectors[k][1], 1.0)
+            ids, x = np.append(vectors[k][0], n_features), np.append(vectors[k][1], 1.0)
             w = weights(ids)
             error = softmax((x @ w)[None])[0]
             error[labels[k]] -= 1
@@ -136,7 +138,7 @@ def train(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_cl
             step = (np.sqrt(n[ids] + g * g) - np.sqrt(n[ids])) / ALPHA
             z[ids] += g - step * w
             n[ids] += g * g
-    every = weights(np.arange(FEATURES + 1))
+    every = weights(np.arange(n_features + 1))
     return every[:-1], every[-1]
 
 
@@ -144,37 +146,50 @@ def fit(docs: DataFrame, *, learnable: Column, per_class: int = PER_CLASS) -> Mo
     """Learn languages from `text` and non-null `lang` of the rows where `learnable` holds (null: not).
 
     The sample is chosen by a hash of the text, so it does not depend on partitions; rows
-    of one text fall in or out together. At most the MAX_CLASSES most frequent languages.
+    that repeat a text of one language enter once, so copies cannot swell it. All languages
+    are learned, however rare.
     """
-    rows = docs.where(learnable).where("text is not null and lang is not null").select("text", "lang")
-    counts = sorted(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_CLASSES).collect())
+    rows = docs.where(learnable).where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text", F.lit("sample")).alias("hash"))
+    counts = sorted(rows.groupBy("lang").agg(F.count_distinct("hash").alias("texts")).collect())
     classes = [r["lang"] for r in counts]
     if not classes:
-        return Model([], np.zeros((FEATURES + 1, 0), np.float32), np.zeros(0), 1.0)
+        return Model([], np.zeros(FEATURES + 1, np.int32), np.zeros((1, 0), np.float32), np.zeros(0), 1.0)
     frequencies, total = document_frequencies(rows)
     idf = np.log((1 + total) / (1 + frequencies)) + 1
-    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], per_class / r["count"])])
-    place = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where(place < shares[F.col("lang")])
+    shares = docs.sparkSession.createDataFrame([(r["lang"], per_class / r["texts"]) for r in counts], "lang string, share double")
+    chosen = F.pmod("hash", F.lit(1 << 20)) / float(1 << 20)
+    sample = rows.join(shares, "lang").where(chosen < F.col("share")).groupBy("lang", "hash").agg(F.min("text").alias("text"))
     index, shared_idf = {c: i for i, c in enumerate(classes)}, docs.sparkSession.sparkContext.broadcast(idf)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((t, c) for b in batches for t, c in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()))
         vectors = [v for i in range(0, len(rows), 256) for v in _vectors([t for t, _ in rows[i : i + 256]], shared_idf.value)]
+        seen = np.unique(np.concatenate([np.zeros(0, np.int32), *[ids for ids, _ in vectors]]))
+        vectors = [(np.searchsorted(seen, ids), x) for ids, x in vectors]
         labels = np.array([index[c] for _, c in rows], np.int64)
         check = np.arange(len(rows)) % 5 == 0 if len(rows) >= 10 * len(classes) else np.zeros(len(rows), bool)
-        weights, bias = train([v for v, c in zip(vectors, check) if not c], labels[~check], len(classes))
+        weights, bias = train([v for v, c in zip(vectors, check) if not c], labels[~check], len(classes), len(seen))
         logits = np.array([x @ weights[ids] + bias for (ids, x), c in zip(vectors, check) if c]).reshape(-1, len(classes))
         temperature = fit_temperature(logits, labels[check])
-        state = np.vstack([weights * shared_idf.value[:, None] * SCALE, bias, np.full(len(classes), temperature)])
-        held = np.flatnonzero(state.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(list(state[held]), pa.list_(pa.float64()))], names=["feature", "w"])
+        yield _rows_of(np.array([FEATURES, FEATURES + 1]), np.vstack([bias, np.full(len(classes), temperature)]))
+        used = np.flatnonzero(weights.any(axis=1))
+        for i in range(0, len(used), 4096):
+            part = used[i : i + 4096]
+            yield _rows_of(seen[part], weights[part] * shared_idf.value[seen[part], None] * SCALE)
 
-    learned = sample.repartition(1).mapInArrow(learn, "feature long, w array<double>").toPandas()
-    state = np.zeros((FEATURES + 2, len(classes)))
-    state[learned["feature"].to_numpy(np.int64)] = np.stack(learned["w"].to_numpy())
-    table = np.vstack([state[:FEATURES], np.zeros(len(classes))]).astype(np.float32)
-    return Model(classes, table, state[FEATURES], float(state[FEATURES + 1, 0]))
+    learned = sample.select("text", "lang").repartition(1).mapInArrow(learn, "feature long, w binary").toPandas()
+    features = learned["feature"].to_numpy(np.int64)
+    state = np.frombuffer(b"".join(learned["w"]), "<f8").reshape(len(features), len(classes))
+    held, place = features < FEATURES, np.full(FEATURES + 1, (features < FEATURES).sum(), np.int32)
+    place[features[held]] = np.arange(held.sum())
+    table = np.vstack([state[held], np.zeros(len(classes))]).astype(np.float32)
+    return Model(classes, place, table, state[features == FEATURES][0], float(state[features == FEATURES + 1][0, 0]))
+
+
+def _rows_of(features: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(features.astype(np.int64)), pa.array([w.astype("<f8").tobytes() for w in weights], pa.binary())], names=["feature", "w"]
+    )
 
 
 def predict(docs: DataFrame, model: Model, *, label: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -194,7 +209,7 @@ def predict(docs: DataFrame, model: Model, *, label: str = "lang_pred", score: s
             for piece in pieces(batch, limit=PIECE):
                 features, starts, letters = ngram_features(piece.column("text").to_pylist())
                 if m.classes:
-                    sums = sum(np.add.reduceat(m.table[f], starts, axis=0, dtype=np.float64) for f in features)
+                    sums = sum(np.add.reduceat(m.table[m.place[f]], starts, axis=0, dtype=np.float64) for f in features)
                     counts = sum(np.add.reduceat(f < FEATURES, starts, dtype=np.int64) for f in features)
                     chances = softmax((sums / np.maximum(1, counts)[:, None] + m.bias) / m.temperature)
                     best = chances.argmax(axis=1)

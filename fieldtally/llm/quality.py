@@ -31,6 +31,7 @@ HIDDEN = 32
 EPOCHS = 60
 RATE = 0.004
 STRIPE = 256  # vocabulary rows summed together
+FLUSH_WORDS = 1 << 27  # a task hands on its 32-bit sums before they could overflow; sums of tasks are 64-bit
 
 
 def word_rows(words: Words) -> np.ndarray:
@@ -63,20 +64,28 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """Context vectors over all texts, scaled to unit length; the driver gets VOCABULARY rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((VOCABULARY, DIMENSIONS), np.int32)
+        total, n_words = np.zeros((VOCABULARY, DIMENSIONS), np.int32), 0
         for batch in batches:
             for piece in pieces(batch):
-                total += context_counts(Words.of(piece.column("text"))).astype(np.int32)
+                words = Words.of(piece.column("text"))
+                if n_words + len(words.starts) > FLUSH_WORDS:
+                    yield stripes_of(total)
+                    total[:], n_words = 0, 0
+                total += context_counts(words).astype(np.int32)
+                n_words += len(words.starts)
+        yield stripes_of(total)
+
+    def stripes_of(total: np.ndarray) -> pa.RecordBatch:
         stripes = total.reshape(-1, STRIPE * DIMENSIONS)
         held = np.flatnonzero(stripes.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array(held), pa.array([stripes[k].astype("<i4").tobytes() for k in held], pa.binary())], names=["stripe", "sums"]
         )
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(STRIPE * DIMENSIONS, np.float64)
         for part in table.column("sums"):
-            total += np.frombuffer(part.as_buffer(), "<i4")
+            total += np.frombuffer(part.as_buffer(), "<i8")
         return pa.table({"stripe": table.column("stripe")[:1], "sums": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
     parts = small_batches(docs.select("text")).mapInArrow(run, "stripe long, sums binary")
@@ -95,7 +104,7 @@ def _add_integers(table: pa.Table) -> pa.Table:
     total = np.zeros(STRIPE * DIMENSIONS, np.int64)
     for part in table.column("sums"):
         total += np.frombuffer(part.as_buffer(), "<i4")
-    return pa.table({"stripe": table.column("stripe")[:1], "sums": pa.array([total.astype("<i4").tobytes()], pa.binary())})
+    return pa.table({"stripe": table.column("stripe")[:1], "sums": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
 
 def pooled(words: Words, vectors: np.ndarray) -> np.ndarray:

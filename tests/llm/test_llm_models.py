@@ -55,6 +55,83 @@ def test_languages_without_anything_to_learn(documents):
     assert langid.identify(documents([])).count() == 0
 
 
+def test_every_language_is_learned_and_copies_count_once(documents):
+    """300 languages of two letters each; one text of the first is copied beyond the bound of the sample."""
+    rng, rows = random.Random(2), []
+    for k in range(300):
+        letters = [chr(0x4E00 + 2 * k), chr(0x4E01 + 2 * k)]
+        rows += [(6 * k + i, words_of(rng, letters, 12), f"l{k:03d}", "s") for i in range(6)]
+    copies = [(5000 + i, rows[0][1], "l000", "s") for i in range(200)]
+    docs = documents(rows + copies)
+    model = langid.fit(docs, learnable=~langid.held_out(4, 2), per_class=50)
+    assert model.classes == sorted({r[2] for r in rows})
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    assert sum(got[d] == lang for d, _, lang, _ in rows) >= 0.98 * len(rows)
+    alone = langid.fit(documents(rows), learnable=~langid.held_out(4, 2), per_class=50)
+    assert len(model.table) == len(alone.table)
+
+
+def test_regression_steps_equal_plain_loops():
+    """Follow-the-regularised-leader, one weight at a time, in the order of the library's permutations."""
+    rng = np.random.default_rng(1)
+    vectors = [(np.sort(rng.choice(20, 4, replace=False)), rng.random(4) * 3) for _ in range(30)]
+    labels = np.array([int(ids[0] < 4) + int(ids[-1] > 16) for ids, _ in vectors])
+    got, got_bias = langid.train(vectors, labels, 3, 20)
+    z, n = np.zeros((21, 3)), np.zeros((21, 3))
+
+    def weight(i, c):
+        if abs(z[i, c]) <= langid.L1:
+            return 0.0
+        return -(z[i, c] - np.sign(z[i, c]) * langid.L1) / ((langid.BETA + np.sqrt(n[i, c])) / langid.ALPHA + langid.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(langid.EPOCHS):
+        for k in order.permutation(30):
+            x = {**dict(zip(vectors[k][0].tolist(), vectors[k][1])), 20: 1.0}
+            w = {(i, c): weight(i, c) for i in x for c in range(3)}
+            logits = [sum(v * w[i, c] for i, v in x.items()) for c in range(3)]
+            chances = np.exp(logits) / np.exp(logits).sum()
+            for i, v in x.items():
+                for c in range(3):
+                    g = v * (chances[c] - (c == labels[k]))
+                    sigma = (np.sqrt(n[i, c] + g * g) - np.sqrt(n[i, c])) / langid.ALPHA
+                    z[i, c] += g - sigma * w[i, c]
+                    n[i, c] += g * g
+    want = np.array([[weight(i, c) for c in range(3)] for i in range(21)])
+    assert np.allclose(np.vstack([got, got_bias]), want) and (want == 0).any() and (want != 0).any()
+
+
+def test_vectors_are_shares_times_rarity():
+    idf = 1 + np.random.default_rng(0).random(langid.FEATURES)
+    texts = ["Abba ab", "x", None, "ab-ab"]
+    for text, (ids, x) in zip(texts, langid._vectors(texts, idf)):
+        framed = "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()} ") if text else " "
+        grams = [framed[i : i + n] for n in langid.ORDERS for i in range(len(framed) - n + 1)]
+        counted = {g: grams.count(g) for g in grams}
+        assert len(ids) == len(counted)
+        assert sorted(x / idf[ids]) == pytest.approx(sorted(langid.SCALE * c / len(grams) for c in counted.values()))
+
+
+def test_pool_equals_plain_means():
+    vectors = np.random.default_rng(0).normal(size=(quality.VOCABULARY, quality.DIMENSIONS)).astype(np.float32)
+    texts = ["a b a", "", "c", None]
+    got = quality.pooled(Words.of(pa.array(texts)), vectors)
+    for row, text in zip(got, texts):
+        own = (text or "").split()
+        each = np.array([vectors[quality.word_rows(Words.of(pa.array([w])))[0]] for w in own]).reshape(-1, quality.DIMENSIONS).astype(float)
+        mean = each.mean(axis=0) if own else np.zeros(quality.DIMENSIONS)
+        spread = np.sqrt(np.maximum(0, (each**2).mean(axis=0) - mean**2)) if own else np.zeros(quality.DIMENSIONS)
+        assert row[: quality.DIMENSIONS] == pytest.approx(mean, abs=1e-5)
+        assert row[quality.DIMENSIONS : 2 * quality.DIMENSIONS] == pytest.approx(spread, abs=1e-3)
+
+
+def test_word_vectors_do_not_depend_on_flushes(documents, monkeypatch):
+    docs = documents([(k, f"a b c d{k % 3} e f", "en", "s") for k in range(2500)]).coalesce(1)  # three batches
+    whole = quality.word_vectors(docs)
+    monkeypatch.setattr(quality, "FLUSH_WORDS", 20)
+    assert np.array_equal(quality.word_vectors(docs), whole)
+
+
 def test_ngrams_stay_inside_texts():
     one, _, letters = langid.ngram_features(["Ab1", None, "ab"])
     alone, _, _ = langid.ngram_features(["ab"])
