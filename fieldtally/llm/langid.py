@@ -156,9 +156,9 @@ def fit(docs: DataFrame, *, learnable: Column, per_class: int = PER_CLASS) -> Mo
         return Model([], np.zeros(FEATURES + 1, np.int32), np.zeros((1, 0), np.float32), np.zeros(0), 1.0)
     frequencies, total = document_frequencies(rows)
     idf = np.log((1 + total) / (1 + frequencies)) + 1
-    shares = docs.sparkSession.createDataFrame([(r["lang"], per_class / r["texts"]) for r in counts], "lang string, share double")
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], per_class / r["texts"])])
     chosen = F.pmod("hash", F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.join(shares, "lang").where(chosen < F.col("share")).groupBy("lang", "hash").agg(F.min("text").alias("text"))
+    sample = rows.where(chosen < shares[F.col("lang")]).groupBy("lang", "hash").agg(F.min("text").alias("text"))
     index, shared_idf = {c: i for i, c in enumerate(classes)}, docs.sparkSession.sparkContext.broadcast(idf)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
