@@ -15,7 +15,7 @@ from tools.check_oracles import as_rows
 SAMPLE = [
     "dim_species", "quality_duplicates", "effort_totals_tagged", "alpha_shannon", "alpha_by_month_wide", "tbi_abundance",
     "tbi_perm_p", "species_table", "top_species", "coverage_matrix", "boxplot", "corr_spearman", "ca_inertia", "draw_qi",
-    "effect_sizes", "glm_offset", "bootstrap_moments", "model_weights",
+    "effect_sizes", "glm_offset", "bootstrap_moments", "model_weights", "crossed_spread",
 ]
 
 
