@@ -28,6 +28,17 @@ def t_p(t: str, df: str, n: int = 1200) -> str:
     return f"greatest(0, 1 - 2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi()) * ({area}))"
 
 
+def f_p(f: str, n: str, d: str, steps: int = 2000) -> str:
+    """Upper F probability by Simpson's rule on the angle whose squared sine is d / (d + n f)."""
+    angle = f"asin(sqrt({d} / ({d} + {n} * {f})))"
+    weight = f"(CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+    area = (
+        f"list_sum(list_transform(range(0, {steps + 1}), lambda i: {weight} * pow(sin({angle} * i / {steps}), {d} - 1) * pow(cos({angle} * i / {steps}), {n} - 1)))"
+        f" * {angle} / {3 * steps}"
+    )
+    return f"2 * exp(lgamma(({n} + {d}) / 2.0) - lgamma({n} / 2.0) - lgamma({d} / 2.0)) * ({area})"
+
+
 def _quantile(value: str, p: float) -> str:
     return f"quantile_cont({value}, {p})"
 
@@ -567,6 +578,23 @@ CTES["month_sigma"] = """SELECT sum(pow(diversity_alpha - m, 2)) / (count(*) - 4
 ORACLES["ols_categorical"] = f"""SELECT term, {R('estimate', 'estimate')}, {R('se', 'std_error')}, {R('estimate / se', 't')}, {R(t_p('(estimate / se)', 'dof'), 'p_value')} FROM
   (SELECT 'month_' || a.month AS term, a.m - b.m AS estimate, sqrt(s2 * (1.0 / a.k + 1.0 / b.k)) AS se, dof FROM month_stats a, month_stats b, month_sigma WHERE b.month = '11' AND a.month <> '11'
    UNION ALL SELECT '(Intercept)', m, sqrt(s2 / k), dof FROM month_stats, month_sigma WHERE month = '11')"""
+_QUARTILES = {"residual_min": 0, "residual_q1": 0.25, "residual_median": 0.5, "residual_q3": 0.75, "residual_max": 1}
+_FITS = {
+    "month": ("month", "(SELECT count(DISTINCT month) FROM fit_rows)"),
+    "year": ("year", "(SELECT count(DISTINCT year) FROM fit_rows)"),
+    "month * year": ("month, year", "(SELECT count(DISTINCT month) * count(DISTINCT year) FROM fit_rows)"),
+}
+CTES["fit_rows"] = "SELECT CAST(month AS VARCHAR) AS month, CAST(year AS VARCHAR) AS year, diversity_alpha AS y FROM frame WHERE month IS NOT NULL AND year IS NOT NULL AND diversity_alpha IS NOT NULL"
+ORACLES["ols_fit"] = " UNION ALL ".join(
+    f"""SELECT '{name}' AS model, n, rank, n_aliased, df_residual, {R('1 - rss / tss', 'r_squared')}, {R('1 - rss / tss * (n - 1) / df_residual', 'adj_r_squared')},
+    {R('sqrt(rss / df_residual)', 'sigma')}, {R('f', 'f_statistic')}, {R(f_p('f', '(rank - 1)', 'df_residual'), 'p_value')}, {', '.join(R(q, q) for q in _QUARTILES)} FROM
+    (SELECT *, n - rank AS df_residual, ((tss - rss) / (rank - 1)) / (rss / (n - rank)) AS f FROM
+      (SELECT count(*) AS n, CAST(count(DISTINCT ({by})) AS INTEGER) AS rank, CAST({columns} - count(DISTINCT ({by})) AS INTEGER) AS n_aliased,
+        sum(pow(y - m, 2)) AS rss, sum(pow(y - overall, 2)) AS tss, {', '.join(f'{_quantile("y - m", p)} AS {q}' for q, p in _QUARTILES.items())}
+       FROM (SELECT *, avg(y) OVER (PARTITION BY {by}) AS m, avg(y) OVER () AS overall FROM fit_rows)))"""
+    for name, (by, columns) in _FITS.items()
+)
+ORACLES["ols_cell_means"] = f"SELECT month, year, count(*) AS n, {R('avg(y)', 'fitted')} FROM fit_rows GROUP BY month, year"
 CTES["offset_stats"] = "SELECT month_s, count(*) AS k, avg(diversity_alpha - ln(n_samples)) AS m FROM frame GROUP BY month_s"
 CTES["offset_sigma"] = """SELECT sum(pow(diversity_alpha - ln(n_samples) - m, 2)) / (count(*) - 4) AS s2, count(*) - 4 AS dof FROM frame JOIN offset_stats USING (month_s)"""
 ORACLES["glm_offset"] = f"""SELECT term, {R('estimate', 'estimate', 5)}, {R('se', 'std_error', 5)}, {R('estimate / se', 't', 5)}, {R(t_p('(estimate / se)', 'dof'), 'p_value', 5)} FROM

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldtally.adapters import draws_from_events, read_table, survey_from_tables
 from fieldtally.functions import calendar, labels, numbers, text
 from fieldtally.operators import (
-    change, cleaning, composition, dims, diversity, draws, effort, explore, models, ordination, quality, reshape, spread, stats, subsets, turnover, twopart,
+    change, cleaning, composition, dims, diversity, draws, effort, explore, leastsquares, models, ordination, quality, reshape, spread, stats, subsets, turnover, twopart,
 )
 from fieldtally.operators.lineage import cut
 from fieldtally.operators.ordered import group_quantiles
@@ -538,6 +538,32 @@ def _(spark, d):
     return coefficients
 
 
+def _fit(spark, d, *terms):
+    frame = survey_of_tables(spark, d).diversity_frame.withColumns({c: F.col(c).cast("string") for c in ("month", "year")})
+    return leastsquares.least_squares(frame, "diversity_alpha", terms)
+
+
+@register("ols_fit")
+def _(spark, d):
+    """Fit summaries of diversity by month, by year, and by every combination of both."""
+    named = {"month": ["month"], "year": ["year"], "month * year": ["month", "year", "month:year"]}
+    parts = [_fit(spark, d, *terms).summary.withColumn("model", F.lit(name)) for name, terms in named.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("ols_cell_means")
+def _(spark, d):
+    """Fitted diversity of each month and year where both and their interaction are in the model."""
+    fitted = _fit(spark, d, "month", "year", "month:year").fitted
+    return fitted.groupBy("month", "year").agg(F.count(F.lit(1)).alias("n"), F.max("fitted").alias("fitted"))
+
+
+@register("ols_terms", 5)
+def _(spark, d):
+    """Coefficients of diversity on month, site category, their interaction and two measures, aliased ones marked."""
+    return _fit(spark, d, "month", "category_name", "month:category_name", "water_level", "water_temp").coefficients
+
+
 @register("ols_moments", 4)
 def _(spark, d):
     frame = survey_of_tables(spark, d).diversity_frame
