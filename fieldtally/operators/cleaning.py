@@ -44,12 +44,15 @@ def species_names(records: DataFrame, config: SurveyConfig = SurveyConfig()) ->
     Records are first reduced to one row per recorded name, so names are edited
     once each and a name that holds a large share of the records is combined
     map-side; no window over records is needed. Excluded and missing names are
-    left out. The result is written: joins broadcast it only if its size on disk
-    allows that, otherwise they are shuffle joins whose hot names AQE splits.
+    left out. The reduced rows are written before both sides of the join read them.
+    The result is written: joins broadcast it only if its size on disk allows that,
+    otherwise they are shuffle joins whose hot names AQE splits.
     """
     numbers = ("refuge", "occasion", "replicate")
-    recorded = records.groupBy("species_name").agg(
-        F.min("species_code").alias("_code"), *[F.max(c).alias(f"_most_{c}") for c in numbers]
+    recorded = cut(
+        records.groupBy("species_name").agg(
+            F.min("species_code").alias("_code"), *[F.max(c).alias(f"_most_{c}") for c in numbers]
+        )
     )
     named = recorded.withColumn("_name", text.sentence_case(F.col("species_name"))).where(F.col("_name").isNotNull())
     for pattern in config.excluded_species:

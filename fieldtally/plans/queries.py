@@ -14,7 +14,7 @@ from fieldtally.operators import (
 )
 from fieldtally.operators.lineage import cut
 from fieldtally.operators.ordered import group_quantiles
-from fieldtally.plans.survey import TABLES_CONFIG, survey_of_tables
+from fieldtally.plans.survey import TABLES_CONFIG, compiled_plans, survey_of_tables
 
 CFG = TABLES_CONFIG
 N_BOOT = 200
@@ -82,6 +82,7 @@ def register(name: str, digits: int = 6) -> Callable[[Query], Query]:
 
 @register("clean_survey")
 def _(spark, d):
+    compiled_plans(spark)
     return cleaning.clean_survey(survey_from_tables(spark, d), CFG)
 
 

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldtally.adapters import survey_from_tables
-from fieldtally.config import SurveyConfig
+from fieldtally.config import SESSION_CONF, SurveyConfig
 from fieldtally.operators import change, cleaning, dims, diversity, effort, quality, turnover
 from fieldtally.operators.lineage import cut
 
@@ -15,17 +15,20 @@ from fieldtally.operators.lineage import cut
 class Survey:
     """Every table of the analysis, from raw records on; each is built when first asked for.
 
-    The clean fact table is written once, so the raw joins and all cleaning run once;
-    whoever reads it pays only for the columns used. The dimension tables and the
-    derived tables that feed several analyses are written as well.
+    The clean fact table is written once, so whatever makes the raw records and all
+    cleaning run once; whoever reads it pays only for the columns used. Where the raw
+    records are `stored` already, the wide fact table is not written a second time:
+    each table cleans the columns it uses. The dimension tables, the catches and the
+    derived tables that feed several analyses are written in either case.
     """
 
-    def __init__(self, raw: DataFrame, config: SurveyConfig = SurveyConfig()):
-        self.raw, self.config = raw, config
+    def __init__(self, raw: DataFrame, config: SurveyConfig = SurveyConfig(), *, stored: bool = False):
+        self.raw, self.config, self.stored = raw, config, stored
 
     @cached_property
     def clean(self) -> DataFrame:
-        return cut(cleaning.clean_survey(self.raw, self.config))
+        cleaned = cleaning.clean_survey(self.raw, self.config)
+        return cleaned if self.stored else cut(cleaned)
 
     @cached_property
     def refuge_info(self) -> DataFrame:
@@ -106,6 +109,13 @@ TABLES_CONFIG = SurveyConfig(complete_years=6)
 _STORED: dict[tuple, Survey] = {}
 
 
+def compiled_plans(spark: SparkSession) -> None:
+    """The session's limit for generated methods as in SESSION_CONF, unless the caller chose one: wide rows run compiled, not interpreted."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(key) == "65535":  # Spark's default
+        spark.conf.set(key, SESSION_CONF[key])
+
+
 def _file_state(spark: SparkSession, folder: str) -> tuple:
     """Names, lengths and change times of a folder's entries, as the file system gives them."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -117,5 +127,5 @@ def survey_of_tables(spark: SparkSession, sf_dir: str, *, fresh: bool = False) -
     """The survey read from the order-and-parts tables; stored tables are shared within a session while the files stay as they are."""
     key = (spark.sparkContext.applicationId, sf_dir, _file_state(spark, sf_dir))
     if fresh or key not in _STORED:
-        _STORED[key] = Survey(survey_from_tables(spark, sf_dir), TABLES_CONFIG)
+        _STORED[key] = Survey(survey_from_tables(spark, sf_dir), TABLES_CONFIG, stored=True)
     return _STORED[key]

@@ -86,3 +86,50 @@ def test_unshared_folder_is_refused_off_local(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         lineage.shared_folder(Session())
+
+
+def test_records_are_joined_once_and_kept_narrow(spark, sf_dir, monkeypatch):
+    """Tables of the analysis scan stored narrow records: no join of large tables again, no wide fact table written."""
+    from fieldtally import adapters
+    from fieldtally.operators import cleaning, lineage
+    from fieldtally.plans import survey as plans
+
+    written = []
+
+    def noted(df):
+        written.append(df.columns)
+        return lineage.cut(df)
+
+    for module in (adapters, cleaning, plans):
+        monkeypatch.setattr(module, "cut", noted)
+    s = survey_of_tables(spark, sf_dir, fresh=True)
+    assert not any("lineitem.parquet" in f or "orders.parquet" in f for f in s.raw.inputFiles())
+    assert s.catch_info.count() == s.clean.count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    records = [c for c in written if "l_orderkey" in c or "sampling" in c]
+    assert records and max(map(len, records)) < 20
+
+
+def test_wide_rows_run_compiled_unless_the_caller_chose(spark, sf_dir):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        contract.queries()["clean_survey"](spark, sf_dir)
+        assert spark.conf.get(key) == "8000"
+        spark.conf.set(key, "20000")
+        contract.queries()["clean_survey"](spark, sf_dir)
+        assert spark.conf.get(key) == "20000"
+    finally:
+        spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("stored", [True, False])
+def test_clean_table_is_the_same_stored_or_not(spark, sf_dir, stored):
+    from fieldtally.plans.survey import TABLES_CONFIG, Survey
+
+    held = survey_of_tables(spark, sf_dir)
+    other = Survey(held.raw, TABLES_CONFIG, stored=stored)
+    for table in ("catch_info", "occasion_info", "refuge_info"):
+        want, got = getattr(held, table), getattr(other, table)
+        assert want.columns == got.columns
+        assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
