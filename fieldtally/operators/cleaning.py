@@ -85,23 +85,23 @@ def clean_survey(raw: DataFrame, config: SurveyConfig = SurveyConfig(), *, encod
     ).scalar()
     coded = (
         labelled.join(names.select("species_name", "_name", "_canonical"), "species_name")
-        .withColumns({"species_name": F.col("_name"), "species_code": F.col("_canonical"), "_largest": largest})
+        .withColumns({"species_name": F.col("_name"), "species_code": F.col("_canonical")})
         .drop("_name", "_canonical")
     )
-    padded = coded.withColumns(
-        {
-            name: text.padded_id(F.col(source), prefix, F.col(f"_largest.{source}"))
-            for name, source, prefix in (
-                ("refuge", "refuge", "fr"),
-                ("occasion", "occasion", "oc"),
-                ("replicate", "replicate", "re"),
-                ("species", "species_code", "sp"),
-            )
-        }
-    ).drop("_largest")
-    return padded.withColumns(
+    ids = {
+        name: text.padded_id(F.col(source), prefix, largest[source])
+        for name, source, prefix in (
+            ("refuge", "refuge", "fr"),
+            ("occasion", "occasion", "oc"),
+            ("replicate", "replicate", "re"),
+            ("species", "species_code", "sp"),
+        )
+    }
+    # One projection of the wide rows: keys are built from the padded ids themselves.
+    return coded.withColumns(
         {
-            "refuge_occasion": text.composite_key(F.col("refuge"), F.col("occasion")),
-            "sampling": text.composite_key(*[F.col(c) for c in ("refuge", "occasion", "replicate", "gear")]),
+            **ids,
+            "refuge_occasion": text.composite_key(ids["refuge"], ids["occasion"]),
+            "sampling": text.composite_key(ids["refuge"], ids["occasion"], ids["replicate"], F.col("gear")),
         }
     )

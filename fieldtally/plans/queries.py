@@ -54,10 +54,14 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded for comparison; adding zero removes the sign of a negative zero."""
+    """Doubles rounded for comparison, whole ones as they are; adding zero removes the sign of a negative zero."""
+
+    def short(value):
+        return F.when(F.rint(value) == value, value).otherwise(F.round(value, digits)) + F.lit(0.0)
+
     return df.select(
         *[
-            (F.round(F.col(f"`{c}`"), digits) + F.lit(0.0)).alias(c) if kind in ("double", "float")
+            short(F.col(f"`{c}`")).alias(c) if kind in ("double", "float")
             else F.col(f"`{c}`").cast("double").alias(c) if kind.startswith("decimal")
             else F.col(f"`{c}`")
             for c, kind in df.dtypes
