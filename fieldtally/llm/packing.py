@@ -32,10 +32,15 @@ CACHED_WORDS = 600_000  # per Python worker; beyond it the cache starts anew
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, _task int, _row long"
 # The vocabulary's own split into words, for ASCII text.
 _ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-_PLAIN = re.compile(rb"[a-z]+|[0-9]")
+_FORMATS = [f"<{n}I" for n in range(33)]
 _LOADED: dict[str, WordIds] = {}
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit ids."""
+    return struct.pack(_FORMATS[len(ids)] if len(ids) < len(_FORMATS) else f"<{len(ids)}I", *ids)
+
+
 class WordIds:
     """Token ids of a text, word by word.
 
@@ -53,26 +58,27 @@ class WordIds:
 
     def __call__(self, text: bytes) -> bytes:
         words = text.split()
-        found = list(map(self.words.get, words))
-        if None in found:
-            self._learn({w for w, ids in zip(words, found) if ids is None})
-            found = list(map(self.words.__getitem__, words))
-            if len(self.words) > CACHED_WORDS:
-                self.words.clear()
-        return b"".join(found)
+        try:
+            return b"".join(map(self.words.__getitem__, words))
+        except KeyError:
+            self._learn(set(words).difference(self.words))
+        ids = b"".join(map(self.words.__getitem__, words))
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
+        return ids
 
     def _learn(self, words: set[bytes]) -> None:
         split = {w: _ASCII_PARTS.findall(w.lower()) if w.isascii() and b"<|" not in w else [w] for w in words}
-        rest = []
+        rest, tokenize = [], self.tokenizer.model.tokenize
         for part in {p for parts in split.values() for p in parts}:
             if part not in self.parts:
-                if _PLAIN.fullmatch(part):  # one lower-case part of its own: no normaliser or splitter needed
-                    self.parts[part] = struct.pack(f"<{len(t := self.tokenizer.model.tokenize(part.decode()))}I", *[x.id for x in t])
+                if part.isalpha() or len(part) == 1 and part.isdigit():  # one lower-case ASCII part of its own: no normaliser or splitter needed
+                    self.parts[part] = _packed([x.id for x in tokenize(part.decode())])
                 else:
                     rest.append(part)
         if rest:
             encoded = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in rest], add_special_tokens=False)
-            self.parts.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(rest, encoded))
+            self.parts.update((p, _packed(e.ids)) for p, e in zip(rest, encoded))
         get = self.parts.__getitem__
         self.words.update((w, b"".join(map(get, parts))) for w, parts in split.items())
         if len(self.parts) > CACHED_WORDS:

@@ -185,3 +185,15 @@ def test_likeness_prunes_by_length(spark):
     sets = spark.createDataFrame([([1, 2, 3, 4], [1]), ([1, 2, 3, 4], [1, 2, 3, 9])], "a array<long>, b array<long>")
     pruned = sets.select(spotsigs.likeness(F.col("a"), F.col("b"), 0.5).alias("x"), spotsigs.likeness(F.col("a"), F.col("b")).alias("y")).collect()
     assert [tuple(r) for r in pruned] == [(0.0, 0.25), (0.6, 0.6)]
+
+
+def test_ids_do_not_depend_on_the_word_cache(monkeypatch):
+    from tokenizers import Tokenizer
+
+    texts = ["Plain words, plain 42 words", "ÉTÉ été <|x|> don't", "", "a" * 90 + " " + "zq" * 200, "Plain words again here"]
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for most in (1, 600_000):
+        monkeypatch.setattr(packing, "CACHED_WORDS", most)
+        ids_of = packing.WordIds(VOCABULARY)
+        assert [ids_of(t.encode()) for t in texts + texts] == want + want
