@@ -61,8 +61,18 @@ def species_names(records: DataFrame, config: SurveyConfig = SurveyConfig()) ->
     return cut(named.drop("_code").join(smallest, "_name"))
 
 
-def clean_survey(raw: DataFrame, config: SurveyConfig = SurveyConfig(), *, encoding: str = "latin1") -> DataFrame:
-    """Clean fact table: one row per recorded catch, ids padded and labels readable."""
+def survey_names(raw: DataFrame, config: SurveyConfig = SurveyConfig(), *, encoding: str = "latin1") -> DataFrame:
+    """The species names of raw rows, for `clean_survey` of these rows or of others with the same names, codes and ids."""
+    return species_names(repair_strings(rename_raw(raw), encoding=encoding), config)
+
+
+def clean_survey(
+    raw: DataFrame, config: SurveyConfig = SurveyConfig(), *, encoding: str = "latin1", names: DataFrame | None = None
+) -> DataFrame:
+    """Clean fact table: one row per recorded catch, ids padded and labels readable.
+
+    `names` are the species names where they are known already.
+    """
     renamed = repair_strings(rename_raw(raw), encoding=encoding)
     labelled = renamed.withColumns(
         {
@@ -76,7 +86,7 @@ def clean_survey(raw: DataFrame, config: SurveyConfig = SurveyConfig(), *, encod
             "weather": F.lower("weather"),
         }
     )
-    names = species_names(labelled, config)
+    names = species_names(labelled, config) if names is None else names
     largest = names.agg(
         F.struct(
             F.max("_canonical").alias("species_code"),

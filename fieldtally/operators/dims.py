@@ -34,6 +34,7 @@ CATCH_COLUMNS = (
     "refuge", "occasion", "replicate", "gear", "sampling", "no_fish", "total_weight", "species",
     "min_length", "max_length", "min_weight", "max_weight", "mean_weight",
 )
+CATCH_SUM_COLUMNS = ("refuge", "occasion", "replicate", "gear", "species", "no_fish", "total_weight")
 CASTING_COLUMNS = (
     "refuge", "occasion", "replicate", "gear_name", "gear", "net_length", "net_area", "depth_shore", "depth_end",
 )
@@ -93,6 +94,11 @@ def catch_info(clean: DataFrame) -> DataFrame:
     return clean.select(*CATCH_COLUMNS)
 
 
+def catch_sums(clean: DataFrame) -> DataFrame:
+    """What totals need of catches that were summed before."""
+    return clean.select(*CATCH_SUM_COLUMNS)
+
+
 def casting_info(clean: DataFrame) -> DataFrame:
     """Net settings per gear and replicate."""
     return clean.select(*CASTING_COLUMNS).distinct()

@@ -112,7 +112,7 @@ def _(spark, d):
 
 @register("dim_casting")
 def _(spark, d):
-    return dims.casting_info(survey_of_tables(spark, d).clean)
+    return survey_of_tables(spark, d).casting_info
 
 
 @register("fact_catch")
@@ -165,17 +165,17 @@ def _(spark, d):
 
 @register("effort_max_replicates")
 def _(spark, d):
-    return effort.max_replicates(survey_of_tables(spark, d).catch_info, CFG)
+    return effort.max_replicates(survey_of_tables(spark, d).catch_sums, CFG)
 
 
 @register("effort_standardised")
 def _(spark, d):
-    return effort.effort_totals(survey_of_tables(spark, d).catch_info, CFG)
+    return effort.effort_totals(survey_of_tables(spark, d).catch_sums, CFG)
 
 
 @register("effort_totals_tagged")
 def _(spark, d):
-    return effort.tagged_effort_totals(survey_of_tables(spark, d).catch_info, CFG)
+    return effort.tagged_effort_totals(survey_of_tables(spark, d).catch_sums, CFG)
 
 
 @register("effort_mean_scaled")
@@ -208,19 +208,19 @@ def _(spark, d):
 
 @register("alpha_shannon_base2")
 def _(spark, d):
-    totals = effort.effort_totals(survey_of_tables(spark, d).catch_info, CFG)
+    totals = effort.effort_totals(survey_of_tables(spark, d).catch_sums, CFG)
     return diversity.alpha_diversity(totals, values_from="total_weight", base=2.0)
 
 
 @register("alpha_simpson")
 def _(spark, d):
-    totals = effort.effort_totals(survey_of_tables(spark, d).catch_info, CFG)
+    totals = effort.effort_totals(survey_of_tables(spark, d).catch_sums, CFG)
     return diversity.alpha_diversity(totals, index="simpson")
 
 
 @register("alpha_inverse_simpson")
 def _(spark, d):
-    totals = effort.effort_totals(survey_of_tables(spark, d).catch_info, CFG)
+    totals = effort.effort_totals(survey_of_tables(spark, d).catch_sums, CFG)
     return diversity.alpha_diversity(totals, index="invsimpson")
 
 
@@ -796,7 +796,7 @@ def _(spark, d):
 
 @register("evenness")
 def _(spark, d):
-    return diversity.evenness(effort.effort_totals(survey_of_tables(spark, d).catch_info, CFG))
+    return diversity.evenness(effort.effort_totals(survey_of_tables(spark, d).catch_sums, CFG))
 
 
 @register("relative_importance")
@@ -956,7 +956,7 @@ def _(spark, d):
     s = survey_of_tables(spark, d)
 
     def frame(standard, transform):
-        totals = effort.effort_totals(s.catch_info, CFG, standard=standard)
+        totals = effort.effort_totals(s.catch_sums, CFG, standard=standard)
         alpha = diversity.alpha_diversity(totals, transform=transform)
         return cut(diversity.diversity_frame(alpha, s.occasion_covariates, s.refuge_covariates))
 

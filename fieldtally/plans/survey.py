@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtally.adapters import survey_from_tables
+from fieldtally.adapters import raw_records, stored_tables, summed_records
 from fieldtally.config import SESSION_CONF, SurveyConfig
 from fieldtally.operators import change, cleaning, dims, diversity, effort, quality, turnover
 from fieldtally.operators.lineage import cut
@@ -20,36 +21,64 @@ class Survey:
     records are `stored` already, the wide fact table is not written a second time:
     each table cleans the columns it uses. The dimension tables, the catches and the
     derived tables that feed several analyses are written in either case.
+
+    `summed` gives the raw rows summed over equal visits, replicates, gears and names.
+    Dimension tables and catch totals then come from these instead of from all records.
     """
 
-    def __init__(self, raw: DataFrame, config: SurveyConfig = SurveyConfig(), *, stored: bool = False):
-        self.raw, self.config, self.stored = raw, config, stored
+    def __init__(
+        self, raw: DataFrame, config: SurveyConfig = SurveyConfig(), *, stored: bool = False, summed: Callable[[], DataFrame] | None = None
+    ):
+        self.raw, self.config, self.stored, self.summed = raw, config, stored, summed
+
+    @cached_property
+    def names(self) -> DataFrame:
+        """Species names, from the summed rows where these are written already."""
+        return cleaning.survey_names(self.raw_sums if "raw_sums" in vars(self) else self.raw, self.config)
 
     @cached_property
     def clean(self) -> DataFrame:
-        cleaned = cleaning.clean_survey(self.raw, self.config)
+        cleaned = cleaning.clean_survey(self.raw, self.config, names=self.names)
         return cleaned if self.stored else cut(cleaned)
 
+    @cached_property
+    def raw_sums(self) -> DataFrame:
+        return self.summed()
+
+    @cached_property
+    def clean_sums(self) -> DataFrame:
+        """Clean rows summed over equal samplings and species names; the clean records themselves where nobody sums them."""
+        return self.clean if self.summed is None else cleaning.clean_survey(self.raw_sums, self.config, names=self.names)
+
     @cached_property
     def refuge_info(self) -> DataFrame:
-        return cut(dims.refuge_info(self.clean))
+        return cut(dims.refuge_info(self.clean_sums))
 
     @cached_property
     def occasion_info(self) -> DataFrame:
-        return cut(dims.occasion_info(self.clean))
+        return cut(dims.occasion_info(self.clean_sums))
 
     @cached_property
     def sampling_info(self) -> DataFrame:
-        return dims.sampling_info(self.clean)
+        return dims.sampling_info(self.clean_sums)
+
+    @cached_property
+    def casting_info(self) -> DataFrame:
+        return dims.casting_info(self.clean_sums)
 
     @cached_property
     def species_info(self) -> DataFrame:
-        return cut(dims.species_info(self.clean, self.config))
+        return cut(dims.species_info(self.clean_sums, self.config))
 
     @cached_property
     def catch_info(self) -> DataFrame:
         return cut(dims.catch_info(self.clean))
 
+    @cached_property
+    def catch_sums(self) -> DataFrame:
+        """Catches for totals: one row or more per sampling and species, with the same sums as the catches."""
+        return self.catch_info if self.summed is None else cut(dims.catch_sums(self.clean_sums))
+
     @cached_property
     def occasion_covariates(self) -> DataFrame:
         return dims.occasion_covariates(self.occasion_info, self.config)
@@ -61,7 +90,7 @@ class Survey:
     @cached_property
     def diversity(self) -> DataFrame:
         """Diversity of log counts, uncorrected for effort (effort enters models as an offset)."""
-        raw_totals = effort.effort_totals(self.catch_info, self.config, standard=False)
+        raw_totals = effort.effort_totals(self.catch_sums, self.config, standard=False)
         return diversity.alpha_diversity(raw_totals, transform="log1p")
 
     @cached_property
@@ -75,7 +104,7 @@ class Survey:
 
     @cached_property
     def catch_full(self) -> DataFrame:
-        return cut(effort.catch_by_season(self.catch_info, self.occasion_covariates, self.config))
+        return cut(effort.catch_by_season(self.catch_sums, self.occasion_covariates, self.config))
 
     @cached_property
     def turnover(self) -> DataFrame:
@@ -127,5 +156,8 @@ def survey_of_tables(spark: SparkSession, sf_dir: str, *, fresh: bool = False) -
     """The survey read from the order-and-parts tables; stored tables are shared within a session while the files stay as they are."""
     key = (spark.sparkContext.applicationId, sf_dir, _file_state(spark, sf_dir))
     if fresh or key not in _STORED:
-        _STORED[key] = Survey(survey_from_tables(spark, sf_dir), TABLES_CONFIG, stored=True)
+        records, visits, attributes = stored_tables(spark, sf_dir)
+        _STORED[key] = Survey(
+            raw_records(records, visits), TABLES_CONFIG, stored=True, summed=lambda: summed_records(records, visits, attributes)
+        )
     return _STORED[key]

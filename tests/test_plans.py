@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from fieldtally.config import SurveyConfig
@@ -133,3 +134,22 @@ def test_clean_table_is_the_same_stored_or_not(spark, sf_dir, stored):
         want, got = getattr(held, table), getattr(other, table)
         assert want.columns == got.columns
         assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
+
+
+def test_dimensions_and_totals_read_summed_records(spark, sf_dir):
+    """One pass over the records, not one for each table; the same tables as from the records themselves."""
+    from fieldtally.plans.survey import TABLES_CONFIG, Survey
+
+    summed = survey_of_tables(spark, sf_dir, fresh=True)
+    plain = Survey(summed.raw, TABLES_CONFIG, stored=True)
+    for table in ("refuge_info", "occasion_info", "sampling_info", "casting_info", "species_info", "catch_full", "diversity"):
+        want, got = getattr(plain, table), getattr(summed, table)
+        assert want.dtypes == got.dtypes
+        if table == "diversity":
+            want, got = (t.withColumn("diversity_alpha", F.round("diversity_alpha", 9)) for t in (want, got))
+        assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty(), table
+    assert not {"catch_info", "clean"} & set(vars(summed))
+    keys = ["refuge", "occasion", "replicate", "gear"]
+    records, sums = plain.catch_info, summed.catch_sums
+    assert sums.agg(F.sum("total_weight")).first() == records.agg(F.sum("total_weight")).first()
+    assert sums.select(*keys).distinct().count() == records.select(*keys).distinct().count()
