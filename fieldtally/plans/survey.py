@@ -91,7 +91,7 @@ class Survey:
     def diversity(self) -> DataFrame:
         """Diversity of log counts, uncorrected for effort (effort enters models as an offset)."""
         raw_totals = effort.effort_totals(self.catch_sums, self.config, standard=False)
-        return diversity.alpha_diversity(raw_totals, transform="log1p")
+        return cut(diversity.alpha_diversity(raw_totals, transform="log1p"))
 
     @cached_property
     def diversity_frame(self) -> DataFrame:
@@ -99,8 +99,7 @@ class Survey:
 
     @cached_property
     def diversity_by_month(self) -> DataFrame:
-        frame = diversity.diversity_frame(self.diversity, self.occasion_covariates, self.refuge_covariates)
-        return diversity.diversity_by_month(frame, self.refuge_covariates)
+        return cut(diversity.diversity_by_month(self.diversity_frame, self.refuge_covariates))
 
     @cached_property
     def catch_full(self) -> DataFrame:

@@ -153,3 +153,11 @@ def test_dimensions_and_totals_read_summed_records(spark, sf_dir):
     records, sums = plain.catch_info, summed.catch_sums
     assert sums.agg(F.sum("total_weight")).first() == records.agg(F.sum("total_weight")).first()
     assert sums.select(*keys).distinct().count() == records.select(*keys).distinct().count()
+
+
+def test_diversity_is_worked_out_once_for_all_models(spark, sf_dir):
+    """Fits read their frame several times: neither the catches nor the totals are aggregated again each time."""
+    s = survey_of_tables(spark, sf_dir)
+    for table in (s.diversity, s.diversity_by_month):
+        text = plan(table)
+        assert "Exchange" not in text and "Aggregate" not in text
