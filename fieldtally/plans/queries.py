@@ -117,7 +117,7 @@ def _(spark, d):
 
 @register("fact_catch")
 def _(spark, d):
-    return survey_of_tables(spark, d).catch_info
+    return survey_of_tables(spark, d).catch_rows
 
 
 @register("cov_occasion")

@@ -74,6 +74,11 @@ class Survey:
     def catch_info(self) -> DataFrame:
         return cut(dims.catch_info(self.clean))
 
+    @property
+    def catch_rows(self) -> DataFrame:
+        """The catches for one reading: cleaned on the way where stored records stand behind them and no catches are written yet."""
+        return dims.catch_info(self.clean) if self.stored and "catch_info" not in vars(self) else self.catch_info
+
     @cached_property
     def catch_sums(self) -> DataFrame:
         """Catches for totals: one row or more per sampling and species, with the same sums as the catches."""

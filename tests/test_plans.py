@@ -161,3 +161,16 @@ def test_diversity_is_worked_out_once_for_all_models(spark, sf_dir):
     for table in (s.diversity, s.diversity_by_month):
         text = plan(table)
         assert "Exchange" not in text and "Aggregate" not in text
+
+
+def test_catches_read_once_are_not_written_first(spark, sf_dir, monkeypatch):
+    from fieldtally.plans import queries
+
+    s = survey_of_tables(spark, sf_dir, fresh=True)
+    monkeypatch.setattr(queries, "survey_of_tables", lambda *_: s)
+    once = queries.QUERIES["fact_catch"](spark, sf_dir)
+    assert "catch_info" not in vars(s)
+    again = queries.rounded(s.catch_info)
+    assert once.dtypes == again.dtypes
+    assert once.exceptAll(again).isEmpty() and again.exceptAll(once).isEmpty()
+    assert s.catch_rows is s.catch_info
